@@ -37,6 +37,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.sentencepieces import encoded
+
+    return encoded(documents(spark, sf_dir), tokenizer_path(PIECE_BPE))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.toxicity import fit, toxicity
 
@@ -50,12 +56,27 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op9_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.token_matrix import token_matrix
+
+    return token_matrix(documents(spark, sf_dir), tokenizer_path(WORD_BPE))
+
+
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.html_extract import html_extract
+
+    return html_extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_url_filter": op2_url_filter,
     "op3_quality_rules": op3_quality_rules,
+    "op5_sentencepiece": op5_sentencepiece,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_token_matrix": op9_token_matrix,
+    "op10_html_extract": op10_html_extract,
 }
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
