@@ -100,7 +100,7 @@ class DigestArray:
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """The host is what follows the first "://" up to "/", "?", "#" or the end, with A-Z lower-cased; the path follows it up to "?", "#" or the end. A url that is null or has no "://" has neither."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring(u, instr(u, '://') + 3)"))
+    rest = F.when(F.instr(url, "://") > 0, F.substr(url, F.instr(url, "://") + F.lit(3)))
     host = F.regexp_extract(rest, "^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     return ascii_lower(F.coalesce(host, F.lit(""))), F.coalesce(path, F.lit(""))
