@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import ascii_lower, text_or_empty
@@ -185,9 +185,13 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def text_digest() -> Column:
+    return F.sha2(ascii_lower(text_or_empty()).cast("binary"), 256)
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, digest): SHA-256, in hex, of the text in UTF-8 with A-Z lower-cased; a null text is an empty one."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(ascii_lower(text_or_empty()).cast("binary"), 256).alias("digest"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"))
 
 
 def live_index(found: DataFrame) -> DataFrame:
