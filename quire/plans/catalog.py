@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "repeated_lines"
+from quire.plans import rules
+
+QUERIES = dict(rules.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(rules.ORACLE_SQL)
+FLAGSHIP = "line_caption_kind"
