@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quire.plans import rules
+from quire.plans import operators, rules
 
-QUERIES = dict(rules.QUERIES)
-ORACLE_SQL: dict[str, str] = dict(rules.ORACLE_SQL)
-FLAGSHIP = "line_caption_kind"
+QUERIES = operators.QUERIES | rules.QUERIES
+ORACLE_SQL: dict[str, str] = operators.ORACLE_SQL | rules.ORACLE_SQL
+FLAGSHIP = "repeated_lines"
