@@ -37,11 +37,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark)}/quire-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out._quire_path = path
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return out
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`written` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._quire_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
     """Let Arrow batches hold few rows, for texts are long: a worker's memory is bounded by rows times the longest text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

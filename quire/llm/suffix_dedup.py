@@ -23,11 +23,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quire.llm.common import partitions, small_batches, written
+from quire.llm.common import discard, partitions, small_batches, written
 
 #: The threshold in bytes; the length of the first sort; of a window's choices; windows that share what the third sort takes.
 LENGTH, GRAM, EIGHT = 100, 32, 8
@@ -49,8 +50,12 @@ CANDIDATE, WITNESS, REPEATED, SETTLED = range(4)
 MESSAGE = "bucket int, kind int, rows int, block binary"
 #: What a pair carries: the rank that makes rows meet; the name of all its bytes; document, row of equal ids, first window, windows, and where in it the chosen position is.
 PAIR = np.dtype([("core", "<u8"), ("one", "<u8"), ("two", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("pos", "<u4"), ("n", "<u4"), ("off", "<u4"), ("block", "<u4")])
+#: What a settled row carries: windows that repeat earlier ones.
+DONE = np.dtype([("doc", "<i8"), ("row", "<i8"), ("pos", "<u4"), ("n", "<u4"), ("block", "<u4")])
 SHORT = np.dtype([("core", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("block", "<u4")])
 NO_ID = -(1 << 63)
+#: Bits of the map of documents that a step is about (4 MB), whatever their number.
+BITS = 1 << 25
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -161,6 +166,35 @@ def messages(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["bucket", "kind", "rows", "block"])
 
 
+def done(rows: np.ndarray) -> np.ndarray:
+    out = np.empty(len(rows), DONE)
+    for f in DONE.names:
+        out[f] = rows[f]
+    return out
+
+
+def _marks(ids: np.ndarray) -> np.ndarray:
+    """Where documents are in a map of bits."""
+    return (mixed(ids.astype(np.int64).view(np.uint64) * A) % U(BITS)).astype(np.int64)
+
+
+def marked(found: DataFrame, kind: np.dtype) -> np.ndarray:
+    """The map of the documents in messages, of fixed size: maps of tasks, in parts of 4 kB, joined by a bitwise or."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BITS, bool)
+        for batch in batches:
+            bits[_marks(unpacked(batch.column(3).to_pylist(), kind)["doc"])] = True
+        parts = np.packbits(bits, bitorder="little").reshape(-1, 4096)
+        some = np.flatnonzero(parts.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([parts[k].tobytes() for k in some], pa.binary())], ["part", "bits"])
+
+    out = np.zeros((BITS // 8 // 4096, 4096), np.uint8)
+    for r in found.mapInArrow(run, "part long, bits binary").groupBy("part").agg(F.bitmap_or_agg("bits").alias("bits")).collect():  # 1024 rows at most
+        out[r.part] = np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
+
+
 def _passed(batch: pa.RecordBatch, which: np.ndarray) -> pa.RecordBatch:
     """The messages that go on as they are."""
     return pa.RecordBatch.from_arrays(batch.filter(pa.array(which)).columns, batch.schema.names)
@@ -170,6 +204,11 @@ def _part(core: np.ndarray, parts: int) -> np.ndarray:
     return (core % U(parts)).astype(np.int64)
 
 
+def _back(rows: np.ndarray, parts: int) -> np.ndarray:
+    """Where repeated rows go: to their documents' block, or, of rows that have none, anywhere."""
+    return rows["block"].astype(np.int64) if "block" in rows.dtype.names else ((rows["core"] >> U(33)) % U(parts)).astype(np.int64)
+
+
 def sifted(rows: np.ndarray, parts: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """Rows of one task by their core: what is there twice is repeated, with a witness for the other tasks; the rest are candidates."""
     rows = rows[np.argsort(rows["core"], kind="stable")]
@@ -179,7 +218,7 @@ def sifted(rows: np.ndarray, parts: int) -> list[tuple[int, np.ndarray, np.ndarr
     twice[:-1] |= same
     first = twice & ~np.r_[False, same] if len(rows) else twice
     many, once = rows[twice], rows[~twice]
-    return [(REPEATED, many["block"].astype(np.int64), many), (WITNESS, _part(rows["core"][first], parts), rows[first]), (CANDIDATE, _part(once["core"], parts), once)]
+    return [(REPEATED, _back(many, parts), many), (WITNESS, _part(rows["core"][first], parts), rows[first]), (CANDIDATE, _part(once["core"], parts), once)]
 
 
 def firsts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +228,7 @@ def firsts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[new], rows[~new]
 
 
-def meet_by_core(kind: np.dtype) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def meet_by_core(kind: np.dtype, parts: int = 1) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Candidates whose core has other rows are repeated; repeated rows pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +244,7 @@ def meet_by_core(kind: np.dtype) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         core = np.r_[mine["core"], others["core"]]
         _, which, times = np.unique(core, return_inverse=True, return_counts=True)
         again = mine[times[which[: len(mine)]] > 1]
-        yield messages([(REPEATED, again["block"].astype(np.int64), again)])
+        yield messages([(REPEATED, _back(again, parts), again)])
 
     return run
 
@@ -221,7 +260,7 @@ def meet_by_name(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 yield _passed(batch, kinds == SETTLED)
             blocks += [b for k, b in zip(kinds.tolist(), batch.column(3).to_pylist(), strict=True) if k == CANDIDATE]
         first, others = firsts(unpacked(blocks, PAIR))
-        yield messages([(SETTLED, others["block"].astype(np.int64), others), *sifted(first, parts)])
+        yield messages([(SETTLED, others["block"].astype(np.int64), done(others)), *sifted(first, parts)])
 
     return run
 
@@ -231,7 +270,8 @@ class Block:
 
     def __init__(self, table: pa.Table, number: int):
         ids = [NO_ID if i is None else i for i in table.column("doc_id").to_pylist()]
-        texts = table.column("text").cast(pa.binary()).to_pylist()
+        unzip = zstandard.ZstdDecompressor().decompress
+        texts = [unzip(t) for t in table.column("text").to_pylist()]
         order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k])) if len(set(ids)) < len(ids) else np.argsort(ids).tolist()
         self.order = [int(k) for k in order]
         self.ids, self.texts = np.array(ids, np.int64)[order], [texts[k] for k in order]
@@ -331,7 +371,7 @@ def _level(made: Callable[[Block, list[bytes]], Iterator[np.ndarray]], parts: in
         block = Block(docs, docs.column("bucket")[0].as_py())
         rows = np.concatenate([np.empty(0, PAIR), *made(block, found.column("block").to_pylist())])
         first, others = firsts(rows)
-        return pa.Table.from_batches([messages([(SETTLED, others["block"].astype(np.int64), others), (CANDIDATE, _part(first["one"], parts), first)])])
+        return pa.Table.from_batches([messages([(SETTLED, others["block"].astype(np.int64), done(others)), (CANDIDATE, _part(first["one"], parts), first)])])
 
     return run
 
@@ -355,7 +395,7 @@ def _cut(rest: pa.Schema | None) -> Callable:
         out: list[tuple] = []
         if docs.num_rows:
             block = Block(docs, docs.column("bucket")[0].as_py())
-            rows = unpacked(found.column("block").to_pylist() if found.num_rows else [], PAIR)
+            rows = unpacked(found.column("block").to_pylist() if found.num_rows else [], DONE)
             document = block.of(rows)
             order = np.argsort(document, kind="stable")
             rows, document = rows[order], document[order]
@@ -411,6 +451,20 @@ def suffix_dedup(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     whole = docs.select(bucket.alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*others, F.lit(None).cast("int").alias("_")).alias("rest")) if with_kept else rows
 
+    def some(df: DataFrame, bits, rest: bool, wanted: bool = True) -> DataFrame:
+        """The documents that the map has (or those that it has not), their texts packed, so that a shuffle moves little."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            zip_ = zstandard.ZstdCompressor(level=1).compress
+            for batch in batches:
+                at = _marks(np.array([NO_ID if i is None else i for i in batch.column(1).to_pylist()], np.int64))
+                part = batch.filter(pa.array(((bits.value[at >> 3] >> (at & 7)) & 1 == 1) == wanted))
+                texts = pa.array([zip_(t) for t in part.column(2).cast(pa.binary()).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts, *part.columns[3:]], part.schema.names)
+
+        extra = f", rest {whole.schema['rest'].dataType.simpleString()}" if rest else ""
+        return df.mapInArrow(run, "bucket int, doc_id long, text binary" + extra)
+
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: list[np.ndarray] = []
         for batch in batches:
@@ -439,17 +493,31 @@ def suffix_dedup(docs: DataFrame, with_kept: bool = False) -> DataFrame:
         if gathered:
             yield messages(sifted(np.concatenate(gathered), parts))
 
-    def to_blocks(found: DataFrame, made: Callable, schema: str) -> DataFrame:
-        return rows.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(made, schema)
+    def about(found: DataFrame, kind: np.dtype):
+        return spark.sparkContext.broadcast(marked(found, kind))
 
-    level = written(rows.mapInArrow(chosen, MESSAGE).repartition("bucket").mapInArrow(meet_by_core(SHORT), MESSAGE), "grams").filter(F.col("kind") == REPEATED)
-    settled = []
+    grams = written(rows.mapInArrow(chosen, MESSAGE).repartition("bucket").mapInArrow(meet_by_core(SHORT), MESSAGE), "grams")
+    level, kind, settled = grams.filter(F.col("kind") == REPEATED), SHORT, []
     for label, made in (("runs", _runs), ("eights", _eights), ("windows", _windows)):
-        named_ = written(to_blocks(level, _level(made, parts), MESSAGE).repartition("bucket").mapInArrow(meet_by_name(parts), MESSAGE), f"{label}-named")
-        settled.append(named_.filter(F.col("kind") == SETTLED))
+        texts = some(rows, about(level, kind), False)
+        met = texts.groupBy("bucket").cogroup(level.groupBy("bucket")).applyInArrow(_level(made, parts), MESSAGE).repartition("bucket").mapInArrow(meet_by_name(parts), MESSAGE)
+        named_ = written(met, f"{label}-named")
+        discard(grams)
         if label != "windows":
-            level = written(named_.filter(F.col("kind") != SETTLED).repartition("bucket").mapInArrow(meet_by_core(PAIR), MESSAGE), label).filter(F.col("kind") == REPEATED)
+            grams = written(named_.filter(F.col("kind") != SETTLED).repartition("bucket").mapInArrow(meet_by_core(PAIR), MESSAGE), label)
+            level, kind = grams.filter(F.col("kind") == REPEATED), PAIR
+        settled.append(written(named_.filter(F.col("kind") == SETTLED), f"{label}-settled"))
+        discard(named_)
     found = settled[0].unionByName(settled[1]).unionByName(settled[2])
+    bits = about(found, DONE)
     schema = RESULT + (f", rest {whole.schema['rest'].dataType.simpleString()}" if with_kept else "")
-    cut = whole.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_cut(to_arrow_schema(whole.schema) if with_kept else None), schema)
-    return cut if with_kept else cut.drop("kept")
+    cut = _cut(to_arrow_schema(whole.schema) if with_kept else None)
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from cut(pa.Table.from_batches([batch]), pa.table({"block": pa.array([], pa.binary())})).combine_chunks().to_batches()
+
+    out = some(whole, bits, with_kept).groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(cut, schema)
+    out = out.unionByName(some(whole, bits, with_kept, wanted=False).mapInArrow(untouched, schema))
+    return out if with_kept else out.drop("kept")
