@@ -79,6 +79,10 @@ class Spark:
     def bytes(self, t: str) -> str:
         return f"octet_length({t})"
 
+    def let(self, value: str, f: Callable[[str], str]) -> str:
+        """A value that is named, and so worked out once, however often it is used."""
+        return f"get(transform(array({value}), it -> {f('it')}), 0)"
+
 
 class Duck(Spark):
     """DuckDB."""
@@ -130,6 +134,9 @@ class Duck(Spark):
     def bytes(self, t: str) -> str:
         return f"octet_length(encode({t}))"
 
+    def let(self, value: str, f: Callable[[str], str]) -> str:
+        return f"(list_transform([{value}], lambda it: {f('it')}))[1]"
+
 
 SPARK, DUCK = Spark(), Duck()
 Rule = Callable[[Spark, str], str]

@@ -549,8 +549,7 @@ def num_ratio_high(q: Spark, t: str) -> str:
 
 def tripled_word(q: Spark, t: str) -> str:
     """A word of two letters and more three times running."""
-    w = words(q, t)
-    return f"({q.size(q.where(q.steps(f'{q.size(w)} - 2'), lambda x: self_same(q, w, x)))} > 0)"
+    return q.let(words(q, t), lambda w: f"({q.size(q.where(q.steps(f'{q.size(w)} - 2'), lambda x: self_same(q, w, x)))} > 0)")
 
 
 def self_same(q: Spark, w: str, i: str) -> str:
@@ -573,8 +572,7 @@ def compact_text(q: Spark, t: str) -> str:
 
 def bigrams(q: Spark, t: str) -> str:
     """The set of neighbouring pairs of characters, white space left out."""
-    s = unspaced(q, t)
-    return q.distinct(q.each(q.steps(f"length({s}) - 1"), lambda x: f"substr({s}, cast({x} AS int), 2)"))
+    return q.let(unspaced(q, t), lambda s: q.distinct(q.each(q.steps(f"length({s}) - 1"), lambda x: f"substr({s}, cast({x} AS int), 2)")))
 
 
 def quality_words(q: Spark, t: str) -> str:

@@ -37,9 +37,10 @@ def ngrams(words: Column, n: int) -> Column:
 
 def ngram_coverage(docs: DataFrame, items: DataFrame, n: int = 3) -> DataFrame:
     """(item_id, grams, doc_id, found): for each item the document that has most of its n-grams; of equal ones the smallest id. The items are the small side; only their grams are sought."""
-    want = items.select("item_id", F.explode(ngrams(column(rules.tokens, "text"), n)).alias("gram"))
+    words = column(rules.tokens, "text").alias("w")  # a column of its own, worked out once
+    want = items.select("item_id", words).select("item_id", F.explode(ngrams(F.col("w"), n)).alias("gram"))
     total = want.groupBy("item_id").agg(F.count("*").alias("grams"))
-    have = docs.select("doc_id", F.explode(ngrams(column(rules.tokens, "text"), n)).alias("gram")).join(want.select("gram").distinct(), "gram", "left_semi")
+    have = docs.select("doc_id", words).select("doc_id", F.explode(ngrams(F.col("w"), n)).alias("gram")).join(want.select("gram").distinct(), "gram", "left_semi")
     found = want.join(have, "gram").groupBy("item_id", "doc_id").agg(F.count("*").alias("found"))
     best = found.groupBy("item_id").agg(F.max(F.struct("found", (-F.col("doc_id")).alias("d"))).alias("m"))
     return total.join(best, "item_id", "left").select("item_id", "grams", (-F.col("m.d")).alias("doc_id"), F.coalesce("m.found", F.lit(0)).alias("found"))
@@ -49,8 +50,8 @@ def consensus(readings: DataFrame, key: str, text: str, stuck: Column) -> DataFr
     """(key, text): of a line's readings the least stuck, then the one nearest to all others by edit distance, then the longest, then the first in order."""
     least = readings.withColumn("stuck", stuck).withColumn("least", F.min("stuck").over(W.partitionBy(key))).filter("stuck = least")
     bare = least.select(key, text, F.regexp_replace(text, r"\s+", "").alias("bare")).withColumn("id", F.row_number().over(W.partitionBy(key).orderBy(text)))
-    other = bare.select(F.col(key).alias("k"), F.col("bare").alias("other"), F.col("id").alias("oid"))
-    cost = bare.join(other, (F.col(key) == F.col("k")) & (F.col("id") != F.col("oid")), "left").groupBy(key, text, "bare", "id").agg(F.coalesce(F.sum(F.levenshtein("bare", "other")), F.lit(0)).alias("cost"))
+    other = bare.select(F.col(key).alias("_k"), F.col("bare").alias("other"), F.col("id").alias("_id"))
+    cost = bare.join(other, (F.col(key) == F.col("_k")) & (F.col("id") != F.col("_id")), "left").groupBy(key, text, "bare", "id").agg(F.coalesce(F.sum(F.levenshtein("bare", "other")), F.lit(0)).alias("cost"))
     return cost.groupBy(key).agg(F.min(F.struct("cost", (-F.length("bare")).alias("n"), "id", F.col(text).alias("t"))).alias("m")).select(key, F.col("m.t").alias(text))
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quire.plans import operators, rules
+from quire.plans import operators, pages, rules
 
-QUERIES = operators.QUERIES | rules.QUERIES
-ORACLE_SQL: dict[str, str] = operators.ORACLE_SQL | rules.ORACLE_SQL
+QUERIES = operators.QUERIES | pages.QUERIES | rules.QUERIES
+ORACLE_SQL: dict[str, str] = operators.ORACLE_SQL | pages.ORACLE_SQL | rules.ORACLE_SQL
 FLAGSHIP = "repeated_lines"
