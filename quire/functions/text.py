@@ -251,7 +251,7 @@ def caption_kind(q: Spark, t: str) -> str:
     number = "[0-9０-９一二三四五六七八九十〇ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]"
     table = q.has(s, rf"^(?i:table)[{WS}]*[0-9IVXS]|^表[{WS}]*{number}|^第{number}+表")
     figure = q.has(s, rf"^(?i:fig\.|figure|plate)[{WS}]*[0-9IVXS]|^図[{WS}]*{number}|^第{number}+図")
-    return f"(CASE WHEN {verb} OR {particle} THEN NULL WHEN {table} THEN 'table' WHEN {figure} THEN 'figure' END)"
+    return f"(CASE WHEN NOT ({table} OR {figure}) THEN NULL WHEN {verb} OR {particle} THEN NULL WHEN {table} THEN 'table' ELSE 'figure' END)"  # most lines fail the first, cheap test
 
 
 def numbered_heading_depth(q: Spark, t: str) -> str:
