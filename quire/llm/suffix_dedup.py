@@ -35,11 +35,11 @@ LENGTH, GRAM, EIGHT = 100, 32, 8
 WINDOW = LENGTH - GRAM + 1
 HALF = 64
 #: Bytes of a long text that are treated at once, and bytes of texts.
-SLICE, AT_ONCE = 1 << 23, 1 << 23
+SLICE, AT_ONCE = 1 << 21, 1 << 21
 #: Pairs that a task gathers before it sends them.
 GATHERED = 1 << 20
-#: Documents in a block.
-BLOCK = 256
+#: Documents in a block, and documents whose pairs make a part of the ranks, at least.
+BLOCK, PART = 256, 500
 
 U = np.uint64
 TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -136,8 +136,8 @@ class Texts:
 
 
 def packed(rows: np.ndarray) -> bytes:
-    """Column by column, so that it compresses."""
-    return b"".join(rows[f].tobytes() for f in rows.dtype.names)
+    """Column by column and byte by byte, so that the high bytes of ids and positions compress."""
+    return b"".join(np.ascontiguousarray(rows[f]).view(np.uint8).reshape(len(rows), -1).T.tobytes() for f in rows.dtype.names)
 
 
 def unpacked(blocks: list[bytes], kind: np.dtype) -> np.ndarray:
@@ -147,7 +147,7 @@ def unpacked(blocks: list[bytes], kind: np.dtype) -> np.ndarray:
         n, place = len(b) // kind.itemsize, 0
         for f in kind.names:
             size = n * kind[f].itemsize
-            out[f][at : at + n] = np.frombuffer(b, kind[f], n, place)
+            out[f][at : at + n] = np.ascontiguousarray(np.frombuffer(b, np.uint8, size, place).reshape(-1, n).T).view(kind[f]).reshape(-1)
             place += size
         at += n
     return out
@@ -231,7 +231,7 @@ def firsts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def meet_by_core(kind: np.dtype, parts: int = 1) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Candidates whose core has other rows are repeated; repeated rows pass through."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[int, list[bytes]] = {CANDIDATE: [], WITNESS: []}
         for batch in batches:
             through = np.isin(batch.column(1).to_numpy(), (REPEATED, SETTLED))
@@ -246,13 +246,13 @@ def meet_by_core(kind: np.dtype, parts: int = 1) -> Callable[[Iterator[pa.Record
         again = mine[times[which[: len(mine)]] > 1]
         yield messages([(REPEATED, _back(again, parts), again)])
 
-    return run
+    return by_core
 
 
 def meet_by_name(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of rows with the same name the first goes on, to meet by its core; the others are settled."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = []
         for batch in batches:
             kinds = batch.column(1).to_numpy()
@@ -262,7 +262,7 @@ def meet_by_name(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         first, others = firsts(unpacked(blocks, PAIR))
         yield messages([(SETTLED, others["block"].astype(np.int64), done(others)), *sifted(first, parts)])
 
-    return run
+    return by_name
 
 
 class Block:
@@ -444,8 +444,9 @@ def suffix_dedup(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    parts = 4 * partitions(spark)
-    blocks = max(8 * partitions(spark), -(-docs.count() // BLOCK))
+    n = docs.count()
+    parts = max(1, min(4 * partitions(spark), n // PART))
+    blocks = max(1, -(-n // BLOCK))
     bucket = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), "text"), F.lit(""))), F.lit(blocks)).cast("int")
     rows = docs.select(bucket.alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
