@@ -35,7 +35,7 @@ PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SPELLED = {b: chr(b) for b in PRINTED} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in PRINTED)}
 #: Texts with these go whole to the tokenizer: its special tokens, characters whose lower case depends on their neighbours, separators that only Python takes for white space, and what lies beyond the first plane.
 WHOLE = re.compile("<\\||[Σİͅ\x1c-\x1f\U00010000-\U0010ffff]")
-CACHED = 400_000
+CACHED = 150_000
 
 
 class WordBpe:

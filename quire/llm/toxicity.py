@@ -232,7 +232,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
                     found.append(model.value.passages(text, cache))
                 else:
                     found.append(([], 0.0))
-                if len(cache) > 500_000:
+                if len(cache) > 200_000:
                     cache.clear()
             scores = [model.value.probability(e) for _, e in found]
             spans = pa.array([[{"start": a, "end": b, "bits": s} for a, b, s in p] for p, _ in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("bits", pa.float64())])))
@@ -252,7 +252,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             clean = [model.value.probability(model.value.evidence(t, cache) if t else 0.0) < 0.5 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(batch.filter(pa.array(clean, pa.bool_())).columns, batch.schema.names)
-            if len(cache) > 500_000:
+            if len(cache) > 200_000:
                 cache.clear()
 
     return docs.mapInArrow(run, docs.schema)
