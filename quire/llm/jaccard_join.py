@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import partitions, small_batches, written
+from quire.llm.common import discard, partitions, small_batches, written
 from quire.llm.suffix_dedup import MESSAGE, REPEATED, meet_by_core, messages, mixed, sifted, unpacked
 
 U = np.uint64
@@ -30,6 +30,10 @@ WORDS, PERCENT = 4, 85
 SMALL = 64
 #: Members of a region, or of a part of it, that one task compares.
 MEMBERS = 4096
+#: Rows of (document, region) up to which they are handed to all tasks, some 60 bytes each, rather than the sets dealt out by document first.
+HANDED = 500_000
+#: Bits of the map of members that all tasks get (packed, 4 MB), whatever the number of documents.
+BITS = 1 << 25
 #: Bytes that are hashed at once, and pairs that a task gathers before it sends them.
 AT_ONCE, GATHERED = 1 << 21, 1 << 20
 INFO, SPOILT = 10, 11
@@ -39,7 +43,7 @@ BYTES = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 BYTES[ord("A") : ord("Z") + 1] = BYTES[ord("a") : ord("z") + 1]
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 TURNS = _random.integers(1, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
-KEY = np.dtype([("core", "<u8"), ("doc", "<i8"), ("n", "<u4"), ("block", "<u4")])
+KEY = np.dtype([("core", "<u8"), ("doc", "<i8")])
 ABOUT = np.dtype([("doc", "<i8"), ("n", "<i8"), ("same", "<i8"), ("id", "<i8")])
 
 
@@ -75,6 +79,16 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
+def packed_set(s: np.ndarray) -> bytes:
+    """A sorted set's steps, byte by byte: the high bytes are mostly 0 and compress."""
+    steps = np.diff(s, prepend=U(0)) if len(s) else s
+    return np.ascontiguousarray(steps.astype("<u8")).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked_set(b: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).reshape(-1).view("<u8"), dtype=np.uint64)
+
+
 def differ(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """How many shingles a set of n and one that links with it can differ by, at most."""
     return (100 - percent) * (100 * n // percent) // 100
@@ -247,8 +261,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
                     spoilt += len(bad)
                     found = np.empty(len(key), KEY)
                     mine = np.array([ids[at + k] for k in fresh], np.int64)
-                    size = np.array([len(sets[k]) for k in fresh], np.int64)
-                    found["core"], found["doc"], found["n"], found["block"] = key, mine[owner], size[owner], (key >> U(33)) % U(parts)
+                    found["core"], found["doc"] = key, mine[owner]
                     gathered.append(found)
                 if sum(map(len, gathered)) > GATHERED:
                     yield out()
@@ -268,7 +281,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
                 yield pa.RecordBatch.from_arrays(batch.filter(pa.array(~other)).columns, batch.schema.names)
 
         kept: list[pa.RecordBatch] = []
-        yield from meet_by_core(KEY)(hold())
+        yield from meet_by_core(KEY, parts)(hold())
         yield from kept
 
     seed = 0
@@ -286,26 +299,43 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
         return run
 
-    about = met.filter(F.col("kind") == INFO).mapInArrow(opened(ABOUT, ["doc", "n", "same", "id"]), "doc long, n long, same long, id long")
+    about = written(met.filter(F.col("kind") == INFO).mapInArrow(opened(ABOUT, ["doc", "n", "same", "id"]), "doc long, n long, same long, id long"), "about")
     keyed_rows = met.filter(F.col("kind") == REPEATED).mapInArrow(opened(KEY, ["core", "doc"]), "core long, doc long")
     order = F.struct(F.xxhash64("doc").alias("h"), F.col("doc").alias("pivot"))
     pivot = keyed_rows.groupBy("core").agg(F.min(order).getField("pivot").alias("pivot")).withColumnRenamed("core", "of")
     region = written(keyed_rows.join(pivot, F.col("core") == F.col("of")).select("pivot", "doc").filter("pivot != doc").distinct(), "regions")
 
+    discard(met)
+
     # how many parts a region has
     size = region.groupBy("pivot").agg(F.count("*").alias("members")).withColumnRenamed("pivot", "of")
     split = F.ceil(F.col("members") / MEMBERS).cast("int")
     member = region.join(size, F.col("pivot") == F.col("of")).select("pivot", "doc", split.alias("split"), F.pmod(F.xxhash64("doc", "pivot"), split.cast("long")).cast("int").alias("part"), F.lit(0).alias("pivotal"))
     itself = size.select(F.col("of").alias("pivot"), F.col("of").alias("doc"), split.alias("split"), F.explode(F.sequence(F.lit(0), split - 1)).alias("part"), F.lit(1).alias("pivotal"))
     placed = written(member.unionByName(itself), "members")
+    discard(region)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.tobytes() for _, texts in texts_of(batch) for s in shingle_sets(texts, words)]
+            sets = [packed_set(s) for _, texts in texts_of(batch) for s in shingle_sets(texts, words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
-    wanted = placed.select("doc").distinct()
-    sets = written(rows.join(wanted, F.col("doc_id") == F.col("doc"), "left_semi").mapInArrow(sets_of, "id long, set binary"), "sets")
+    # Members' sets come straight from the scan: a bitmap of fixed size tells which documents may be members, so texts
+    # need no shuffle; the join below is exact and leaves out the few that the bitmap lets through.
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    marked = placed.select(place("doc").alias("at")).groupBy(F.expr("at div 32768").alias("part")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
+    bits = np.zeros(BITS // 8, np.uint8)
+    for r in marked.collect():  # BITS / 32768 rows at most
+        bits[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
+    bitmap = spark.sparkContext.broadcast(bits)
+
+    def members_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array((bitmap.value[at >> 3] >> (at & 7)) & 1 == 1))
+
+    near = rows.filter("doc_id IS NOT NULL").withColumn("at", place("doc_id"))
+    sets = written(near.mapInArrow(lambda batches: sets_of(members_only(batches)), "id long, set binary"), "sets")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted (pivot, part, pivotal, doc, split, set, query) -> links (a, b), and with b null the members of split regions that aren't linked to the pivot."""
@@ -313,7 +343,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
         def solved() -> pa.RecordBatch:
             ids = np.array([r[0] for r in rows_], np.int64)
-            members = [np.frombuffer(r[1], np.uint64) for r in rows_]
+            members = [unpacked_set(r[1]) for r in rows_]
             asking = np.array([r[3] for r in rows_], bool)
             if asking.any():
                 links, _ = linked(members, ids, percent, (asking, ~asking))
@@ -334,6 +364,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
             yield solved()
 
     def compare(places: DataFrame) -> DataFrame:
+        if places.count() <= HANDED:
+            places = F.broadcast(places)  # else both sides are sorted by document
         full = places.join(sets, F.col("doc") == F.col("id")).select("pivot", "part", "pivotal", "doc", "split", "set", "query")
         full = full.repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.desc("query"), F.desc("pivotal"), "doc")
         return full.mapInArrow(compared, "a long, b long, pivot long")
