@@ -248,6 +248,14 @@ def test_jaccard_join(spark, monkeypatch, words, percent, members):
     assert got == plain_join(rows, words, percent)
 
 
+def test_packed_sets():
+    from quire.llm.jaccard_join import packed_set, unpacked_set
+
+    for n in (0, 1, 2, 100, 5000):
+        s = np.unique(np.random.default_rng(n).integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        assert (unpacked_set(packed_set(s)) == s).all()
+
+
 def test_jaccard_edges(spark):
     from quire.llm.jaccard_join import components, jaccard_join
 
