@@ -135,6 +135,19 @@ def test_bad_hosts_go(spark):
     assert kept[0] and not kept[601]  # s1 fails nearly always, so its good text goes too
 
 
+def test_all_rules_and_hosts_reject(spark):
+    from quire.llm.quality import quality_rules
+
+    random.seed(7)
+    words = [f"word{k}" for k in range(60)]
+    good, lines = " ".join(words), [random.choice(words[:25]) for _ in range(80)]
+    bad = [" ".join(w + "#" * (k % 8 == 0) for k, w in enumerate(words)), "\n".join(lines), " ".join(f"{chr(97 + k % 26)}{k // 26}" for k in range(78)), " ".join(f"{k:011d}" for k in range(60)), "too short"]
+    rows = [(100 * h + k, bad[k % 5] if k < (60 if h == 19 else 8 + h % 3) else good, f"h{h}") for h in range(20) for k in range(100)]
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    for i, t, h in rows:
+        assert got[i].base_failed == (t == bad[4]) and got[i].kept == (t == good and h != "h19")  # h19 fails three times in five: below WORST, far beyond the others
+
+
 # --- suffix array
 
 
