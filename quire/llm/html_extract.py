@@ -1,16 +1,17 @@
 """Main text of web pages by equivalence classes of template tokens.
 
-A page's tokens are its elements, each with its role: the path of tags and classes that leads to it. Over all pages of a
-host, tokens with the same occurrence vector (so many times on each page) form an equivalence class; the vectors are
-compared by random projections, sums over pages that partial aggregates can add up, so that no host's pages ever meet in
-one task. Classes that are on enough pages, once on each, are valid; nested by their paths they are the host's template.
-What lies between its tokens are slots. Slots with a role that is not the article's (menus, headers, footers, side
-bars, notices, adverts, forms, comments) are left out; of the others, the one that is marked as the article, or else the
-innermost with most of the text outside links, is extracted.
+A page's tokens are its elements, each with its path of tags and classes and its number among those of that path, and
+its texts, each with its path and its number among equal ones. Over all pages of a host, tokens with the same occurrence
+vector (the pages that they are on) form an equivalence class; the vectors are compared by random projections, sums over
+pages that partial aggregates can add up, so that no host's pages ever meet in one task. Classes that are large and on
+enough pages are valid; nested by their paths they are the host's template. (The order of a class's tokens is not
+looked at.) Texts of the template are left out, and so is what has a role that is not the article's: menus, headers,
+footers, side bars, notices, adverts, forms, comments, by lists of tags and of words. All else is extracted, in page order.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
@@ -40,23 +41,22 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 #: Elements, and words of their class, id or role, that are not the article's.
 OUT_TAGS = set("head nav footer aside form menu dialog".split())
 OUT_WORDS = set("nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer colophon sidebar aside notice notices cookie cookies consent gdpr banner alert ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments reply replies respond disqus share sharing social related newsletter subscribe signup login search popup modal overlay widget pagination pager".split())
-MAIN_WORDS = set("article main content post entry story body text".split())
+#: Names that begin so say what an element holds or lacks, and not what it is.
+STATES = set("has have with without no is hide show".split())
 
 
 class Page:
-    """(path, whether it is left out, characters in links, text) of each block, in page order, and how often each path opens."""
+    """(path, left out by a tag, marks of left-out roles around it, text) of each block, in page order, and how often each path opens."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, bool, int, str]] = []
+        self.blocks: list[tuple[str, bool, tuple[int, ...], str]] = []
         self.opened: dict[str, int] = {}
-        self._stack: list[tuple[str, str, bool]] = [("", "", False)]  # tag, path, left out
+        self._marks, self._wrappers = 0, set()
+        self._stack: list[tuple[str, str, bool, tuple[int, ...]]] = [("", "", False, ())]  # tag, path, left out, marks
         self._text: list[str] = []
-        self._links = self._in_link = 0
         for m in TOKEN.finditer(source):
             if (text := m["text"]) is not None:
-                text = html.unescape(text)
-                self._text.append(text)
-                self._links += len(text) * (self._in_link > 0)
+                self._text.append(html.unescape(text))
             elif tag := m["tag"]:
                 tag = tag.lower()
                 if m["end"]:
@@ -66,12 +66,14 @@ class Page:
             elif m["raw"]:
                 self._text.append(" ")
         self._flush()
+        if self._wrappers and not any(not out and not marks for _, out, marks, _ in self.blocks):  # else all of the page would go by its wrapper's name
+            self.blocks = [(path, out, tuple(k for k in marks if k not in self._wrappers), text) for path, out, marks, text in self.blocks]
 
     def _flush(self) -> None:
         if text := " ".join("".join(self._text).split()):
-            _, path, out = self._stack[-1]
-            self.blocks.append((path, out, min(self._links, len(text)), text))
-        self._text, self._links = [], 0
+            _, path, out, marks = self._stack[-1]
+            self.blocks.append((path, out, marks, text))
+        self._text = []
 
     def _open(self, tag: str, attrs: str) -> None:
         if tag == "br":
@@ -85,31 +87,35 @@ class Page:
                     break
                 if self._stack[k][0] in ("ul", "ol", "dl", "table", "div", "section", "article", "td") and tag != "p":
                     break
-        self._in_link += tag == "a"
         if tag in VOID or attrs.endswith("/"):
             return
-        _, path, out = self._stack[-1]
+        _, path, out, marks = self._stack[-1]
         words, names, hidden = set(), "", False
         for key, *values in ATTRIBUTE.findall(attrs) if attrs else ():
             value, key = "".join(values).lower(), key.lower()
             if key == "class":
                 names = "." + ".".join(sorted(re.sub(r"\d+", "0", value).split())) if value.strip() else ""
             hidden |= key == "hidden" or key == "aria-hidden" and value == "true"
-            words.update(WORDS.findall(value))
-        within = any(t in ("article", "main") for t, _, _ in self._stack)
-        out = out or hidden or tag in OUT_TAGS or tag == "header" and not within or bool(words & OUT_WORDS) and tag not in ("html", "body", "article", "main")
-        if tag == "article" and within and words & OUT_WORDS:
-            out = True
+            for name in value.split():
+                found = WORDS.findall(name)
+                words.update(found if found[:1] and found[0] not in STATES else ())
+        within = any(t[0] in ("article", "main") for t in self._stack)
+        by_tag = hidden or tag in OUT_TAGS or tag == "header" and not within
+        by_word = bool(words & OUT_WORDS) and (tag not in ("html", "body", "article", "main") or tag == "article" and within)
+        if marks and not out and (by_tag or by_word or tag in ("article", "main")):
+            self._wrappers.add(marks[0])  # a left-out role, or the article, within another: the outermost is around the page
+        out = out or by_tag
+        if by_word:
+            self._marks += 1
+            marks = (*marks, self._marks)
         if tag in BLOCKS:
             path = f"{path}/{tag}{names}"
             self.opened[path] = self.opened.get(path, 0) + 1
-        self._stack.append((tag, path, out))
+        self._stack.append((tag, path, out, marks))
 
     def _close(self, tag: str) -> None:
         if tag in BLOCKS:
             self._flush()
-        if tag == "a":
-            self._in_link = max(0, self._in_link - 1)
         for k in range(len(self._stack) - 1, 0, -1):
             if self._stack[k][0] == tag:
                 del self._stack[k:]
@@ -117,9 +123,30 @@ class Page:
             if self._stack[k][0] in BLOCKS and tag not in BLOCKS:  # an inline end tag does not end a block
                 break
 
-    def text(self, slot: str) -> str:
-        """The blocks of a slot, without those that are left out, one a line."""
-        return "\n".join(t for p, out, _, t in self.blocks if not out and (p == slot or p.startswith(slot + "/")))
+    def texts(self) -> Iterator[tuple[int, int, str]]:
+        """(token, the parent's token, text) of the blocks that no role leaves out."""
+        met: dict[tuple[str, str], int] = {}
+        for path, out, marks, text in self.blocks:
+            if not out and not marks:
+                met[path, text] = n = met.get((path, text), -1) + 1
+                yield token(f"{path}\0{n}\0{text}"), token(f"{path}\0000") if path else 0, text
+
+    def elements(self) -> Iterator[tuple[int, int]]:
+        """(token, the parent's token) of the elements."""
+        for path, times in self.opened.items():
+            above = path.rpartition("/")[0]
+            parent = token(f"{above}\0000") if above else 0
+            for n in range(times):
+                yield token(f"{path}\000{n}"), parent
+
+    def text(self, template: set[int]) -> str:
+        """The blocks that neither their role nor the template leaves out, one a line; where none is left, those that no role leaves out."""
+        found = list(self.texts())
+        return "\n".join([t for k, _, t in found if k not in template] or [t for _, _, t in found])
+
+
+def token(name: str) -> int:
+    return int.from_bytes(hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def projection(page_id: int | None, url: str | None) -> int:
@@ -127,37 +154,28 @@ def projection(page_id: int | None, url: str | None) -> int:
     return zlib.crc32(f"{page_id}|{url}".encode()) & 0x7FFFFFFF
 
 
-COUNTS = "host string, path string, pages long, times long, vector long, chars long, links long, outside boolean"
+COUNTS = "host string, token long, parent long, is_text boolean, pages long, vector long"
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page_id, url, html) -> the tokens of a task's pages, those of a host added up."""
-    met: dict[tuple[str, str], list] = {}
+    """(host, page_id, url, html) -> the tokens of a task's pages, those of a host added up; token 0 is on each page."""
+    met: dict[tuple[str, int], list] = {}
 
     def out() -> pa.RecordBatch:
         rows = [(*k, *v) for k, v in met.items()]
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in COUNTS.split(", ")])
 
     for batch in batches:
         for host, one, url, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             page, weight = Page(source or ""), projection(one, url)
-            chars: dict[str, list] = {}
-            for path, left_out, links, text in page.blocks:
-                if not left_out:
-                    for end in [i for i, c in enumerate(path) if c == "/"][1:] + [len(path)]:
-                        x = chars.setdefault(path[:end], [0, 0])
-                        x[0] += len(text)
-                        x[1] += links
-            for path, n in page.opened.items():
-                entry = met.setdefault((host, path), [0, 0, 0, 0, 0, True])
-                entry[0] += 1
-                entry[1] += n
-                entry[2] = (entry[2] + n * weight) & 0x7FFFFFFFFFFFFFFF
-                if path in chars:
-                    entry[3] += chars[path][0]
-                    entry[4] += chars[path][1]
-                    entry[5] = False
+            if not page.blocks:
+                continue
+            tokens = [(0, None, False), *((k, p, False) for k, p in page.elements()), *((k, p, True) for k, p, _ in page.texts())]
+            for k, parent, is_text in tokens:
+                entry = met.setdefault((host, k), [parent, is_text, 0, 0])
+                entry[2] += 1
+                entry[3] += weight
         if len(met) > 200_000:
             yield out()
             met = {}
@@ -165,52 +183,54 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def template_slot(tokens: list[tuple[str, int, int, int, int, int, bool]]) -> str:
-    """The slot to extract, of a host's tokens (path, pages, times, vector, chars, links, outside).
+#: A class is valid with so many tokens, on so many pages and on so many of ten of its host's.
+SIZE, SUPPORT, OF_TEN = 3, 3, 9
+
+
+def template_texts(tokens: list[tuple[int, int | None, bool, int, int]]) -> list[int]:
+    """The texts in the template of a host's tokens (token, parent, is_text, pages, vector) that are on enough pages.
 
-    A token is valid if it is on half of the pages that its host's commonest token is on, once on each; equal vectors
-    make a class, and classes nest by their paths. "" is the whole page.
+    Equal vectors make a class; of the tokens of large classes, those whose parents are of such classes too, up to the page, are the template.
     """
-    if not tokens:
-        return ""
-    most = max(t[1] for t in tokens)
-    classes: dict[int, list] = {}
+    classes: dict[tuple[int, int], int] = {}
     for t in tokens:
-        if 2 * t[1] >= most and t[1] == t[2]:
-            classes.setdefault(t[3], []).append(t)
-    skeleton = [t for c in classes.values() if len(c) > 1 or 2 * c[0][1] >= most for t in c]
-    slots = [t for t in skeleton if t[4] > 0 and not t[6]]
-    if not slots:
-        return ""
-    label = lambda t: t[0].rpartition("/")[2]
-    for wanted in (lambda t: label(t).split(".")[0] == "article", lambda t: label(t).split(".")[0] == "main"):
-        if found := [t for t in slots if wanted(t)]:
-            return max(found, key=lambda t: (t[4], t[0].count("/"), t[0]))[0]
-    if found := [t for t in slots if set(WORDS.findall(label(t))) & MAIN_WORDS - {"body", "text"}]:
-        return max(found, key=lambda t: (t[4] - t[5], t[0].count("/"), t[0]))[0]
-    best = max(t[4] - t[5] for t in slots)
-    return max((t for t in slots if 5 * (t[4] - t[5]) >= 4 * best), key=lambda t: (t[0].count("/"), t[4] - t[5], t[0]))[0]
-
-
-#: Hosts up to which the templates are handed to all tasks (some 100 bytes each); beyond, they are joined.
-HANDED = 20_000
+        classes[t[3], t[4]] = classes.get((t[3], t[4]), 0) + 1
+    valid = {t[0]: t[1] for t in tokens if classes[t[3], t[4]] >= SIZE}
+    nested: dict[int, bool] = {0: True}
+
+    def within(k: int | None) -> bool:
+        way = []
+        while k is not None and k not in nested:
+            way.append(k)
+            k = valid.get(k)
+        found = k is not None and nested[k]
+        nested.update(dict.fromkeys(way, found))
+        return found
+
+    return [t[0] for t in tokens if t[2] and t[0] in valid and within(t[0])]
+
+
+#: Template texts up to which the templates are handed to all tasks (8 bytes each, and the hosts); beyond, they are joined.
+HANDED = 100_000
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, slot) from (host, page_id, url, html)."""
+    """(host, texts) from (host, page_id, url, html), for hosts that have template texts."""
     counts = pages.select("host", "page_id", "url", "html").mapInArrow(_counted, COUNTS)
-    counts = counts.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("pages", "times", "chars", "links")), F.sum(F.col("vector") % (1 << 40)).alias("vector"), F.min("outside").alias("outside"))
-    most = counts.groupBy("host").agg(F.max("pages").alias("most")).withColumnRenamed("host", "of")
-    often = counts.join(most, F.col("host") == F.col("of")).filter(F.col("pages") * 2 >= F.col("most"))  # at most twice as many tokens as a page has
-    slot = F.udf(lambda rows: template_slot([tuple(r) for r in rows or ()]), T.StringType())
-    return often.groupBy("host").agg(slot(F.collect_list(F.struct("path", "pages", "times", "vector", "chars", "links", "outside"))).alias("slot"))
+    counts = counts.groupBy("host", "token").agg(F.min("parent").alias("parent"), F.min("is_text").alias("is_text"), *(F.sum(c).alias(c) for c in ("pages", "vector")))
+    often = written(counts.filter(F.col("pages") >= SUPPORT), "tokens")
+    most = often.filter("token = 0").select(F.col("host").alias("of"), F.col("pages").alias("most"))
+    often = often.join(most, F.col("host") == F.col("of")).filter(F.col("pages") * 10 >= F.col("most") * OF_TEN)  # hardly more tokens than a page has
+    texts = F.udf(lambda rows: template_texts([tuple(r) for r in rows or ()]), T.ArrayType(T.LongType()))
+    found = often.groupBy("host").agg(texts(F.collect_list(F.struct("token", "parent", "is_text", "pages", "vector"))).alias("texts"))
+    return found.filter(F.size("texts") > 0)
 
 
 def html_extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), a row for each row of ``pages``, which needs page_id, url and html.
 
-    Blocks are elements that a browser sets apart; white space in a block becomes one space. A page without its host's
-    slot is judged by itself, as the only page of a host. Null and empty pages have an empty text; pages without a host
+    Blocks are elements that a browser sets apart; white space in a block becomes one space. Of a
+    host with fewer than SUPPORT pages, and of a page that is all template, only roles leave out blocks. Null and empty pages have an empty text; pages without a host
     share one. Repeated rows are extracted each; an empty table gives an empty result. Other columns are not looked at.
     """
     spark = pages.sparkSession
@@ -218,30 +238,14 @@ def html_extract(pages: DataFrame) -> DataFrame:
     host, _ = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id"), "url", "html", host.alias("host"))
     found = written(templates(rows), "templates").withColumnRenamed("host", "of")
-    if found.limit(HANDED + 1).count() <= HANDED:
+    if (found.agg(F.sum(F.size("texts") + 5)).first()[0] or 0) <= HANDED:
         found = F.broadcast(found)
-    joined = rows.join(found, rows["host"] == F.col("of"), "left").select("page_id", "url", "html", "slot")
+    joined = rows.join(found, rows["host"] == F.col("of"), "left").select("page_id", "url", "html", "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for source, slot in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                page = Page(source or "")
-                text = page.text(slot) if slot and slot in page.opened else ""
-                texts.append(text or page.text(own_slot(page)))
+            texts = [Page(source or "").text(set(template or ())) for source, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
-
-
-def own_slot(page: Page) -> str:
-    """The slot of a page that is all of its host."""
-    chars: dict[str, list[int]] = {}
-    for path, out, links, text in page.blocks:
-        if not out:
-            for end in [i for i, c in enumerate(path) if c == "/"][1:] + [len(path)]:
-                x = chars.setdefault(path[:end], [0, 0])
-                x[0] += len(text)
-                x[1] += links
-    return template_slot([(p, 1, n, 0, *chars.get(p, [0, 0]), p not in chars) for p, n in page.opened.items()])

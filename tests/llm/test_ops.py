@@ -471,6 +471,23 @@ def test_html_extract(spark):
     assert all(n == len(t) for _, t, n in got) and html_extract(df.filter("false")).count() == 0
 
 
+def extracted(spark, bodies):
+    from quire.llm.html_extract import html_extract
+
+    rows = [(k, f"http://h.x/{k}", f"<html><head><title>T</title></head><body>{b}</body></html>") for k, b in enumerate(bodies)]
+    return [r.text for r in html_extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_template_texts_go(spark):
+    body = '<div class="page {2}"><article><h1>Head {0}</h1>{1}<div class="box">The same on all pages</div><p>Also the same</p></article><div class="sidebar">Side {0}</div></div>'
+    own = [f"<p>Own {k}</p>" * (k + 1) for k in range(5)]
+    want = ["\n".join([f"Head {k}", *[f"Own {k}"] * (k + 1)]) for k in range(5)]
+    for wrapper in ("", "has-sidebar", "sidebar-right"):
+        assert extracted(spark, [body.format(k, o, wrapper) for k, o in enumerate(own)]) == want
+    assert extracted(spark, ["<p>All pages alike</p>"] * 4) == ["All pages alike"] * 4
+    assert extracted(spark, [f"<p>Two pages {k}</p><p>are too few</p>" for k in range(2)]) == [f"Two pages {k}\nare too few" for k in range(2)]
+
+
 def test_pages_of_the_driver(spark, sf):
     """The articles of the made pages, by a plain reading of their markup."""
     import html
