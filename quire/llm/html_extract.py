@@ -39,7 +39,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 #: An element of these ends an open element of the second kind.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "body": {"head"}}
 #: Elements, and words of their class, id or role, that are not the article's.
-OUT_TAGS = set("head nav footer aside form menu dialog".split())
+OUT_TAGS = set("head title nav footer aside form menu dialog".split())
 OUT_WORDS = set("nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer colophon sidebar aside notice notices cookie cookies consent gdpr banner alert ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments reply replies respond disqus share sharing social related newsletter subscribe signup login search popup modal overlay widget pagination pager".split())
 #: Names that begin so say what an element holds or lacks, and not what it is.
 STATES = set("has have with without no is hide show".split())

@@ -488,6 +488,14 @@ def test_template_texts_go(spark):
     assert extracted(spark, [f"<p>Two pages {k}</p><p>are too few</p>" for k in range(2)]) == [f"Two pages {k}\nare too few" for k in range(2)]
 
 
+def test_all_slots_are_extracted(spark):
+    long = "<p>{0} long text of the page that goes on for quite a while</p>" * 3
+    line = "{0} long text of the page that goes on for quite a while"
+    shapes = ["<h1>Title {0}</h1><p>Intro {0}</p><div class=wrap>%s</div><table><tr><td>Cell {0}</td></tr></table>", '<div class="entry-title">Title {0}</div><p>Intro {0}</p><div class="entry-content">%s</div><div>Cell {0}</div>', '<h1>Title {0}</h1><div class="post-info">Intro {0}</div>%s<section>Cell {0}</section>', "<h1>Title {0}</h1><p>Intro {0}</p><article>%s</article><p>Cell {0}</p>"]
+    for shape in shapes:
+        assert extracted(spark, [(shape % long).format(f"x{k}") for k in range(4)]) == ["\n".join([f"Title x{k}", f"Intro x{k}", *[line.format(f"x{k}")] * 3, f"Cell x{k}"]) for k in range(4)]
+
+
 def test_pages_of_the_driver(spark, sf):
     """The articles of the made pages, by a plain reading of their markup."""
     import html
