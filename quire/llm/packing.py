@@ -1,13 +1,14 @@
 """Best-fit packing with swap-based local search, and the tokenising that goes before it.
 
 Pieces are packed in groups of bounded size, each in one task: best fit first, then a local search that exchanges one
-for one, two for one or moves pieces between underfull bins whenever that raises the sum of squared fills, until bins
-empty. The bins that are left underfull in all groups are packed again, round by round, until one group holds them.
+for one, two for one or moves pieces between any two underfull bins whenever that raises the sum of squared fills, until
+no such step is left. The bins that are left underfull in all groups are packed again, round by round, until one group
+holds them or a round saves no sequence.
 """
 
 from __future__ import annotations
 
-import bisect
+import heapq
 import re
 import unicodedata
 import zlib
@@ -26,8 +27,6 @@ from quire.llm.common import small_batches, written
 LIMIT = 4096
 #: Pieces that one task packs at once.
 GROUP = 20_000
-#: Passes of the local search over the underfull bins, and bins looked at for each exchange.
-PASSES, NEAR = 8, 64
 
 #: What this tokenizer's files split on and how they spell bytes; fixed values of the public format.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -138,64 +137,92 @@ def best_fit(lengths: list[int], limit: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], limit: int, passes: int = PASSES, near: int = NEAR) -> list[list[int]]:
+class _Partners:
+    """Underfull bins by the lengths that they hold: ``reach[y]`` is the most that may take the place of a piece of length
+    y in any of them, which is y and the bin's room; y = 0 is a move into the room alone."""
+
+    def __init__(self, limit: int):
+        self.reach = np.full(limit + 1, -1, np.int64)
+        self._limit = limit
+        self._heaps: list[list[tuple[int, int, int]]] = [[] for _ in range(limit + 1)]  # (-room, bin, version)
+        self._held: dict[int, tuple[int, ...]] = {}
+        self._version: dict[int, int] = {}
+
+    def put(self, bin_: int, held: set[int], fill: int) -> None:
+        before = self._held.get(bin_, ())
+        version = self._version[bin_] = self._version.get(bin_, 0) + 1
+        self._held[bin_] = now = (0, *held) if fill < self._limit else ()
+        for y in now:
+            heapq.heappush(self._heaps[y], (fill - self._limit, bin_, version))
+        for y in {*before, *now}:
+            heap = self._heaps[y]
+            while heap and heap[0][2] != self._version[heap[0][1]]:
+                heapq.heappop(heap)
+            self.reach[y] = y - heap[0][0] if heap else -1
+
+    def drop(self, bin_: int) -> None:
+        self.put(bin_, set(), self._limit)
+
+    def roomiest(self, y: int) -> int:
+        return self._heaps[y][0][1]
+
+
+def local_search(bins: list[list[int]], lengths: list[int], limit: int) -> list[list[int]]:
     """Moves items from the emptiest underfull bins into fuller ones, alone or in exchange for a shorter item, one or
-    two for one. Each step raises the sum of squared fills, so the search ends; a bin that empties is gone."""
+    two for one, whichever of all bins gains the most. Each step raises the sum of squared fills, so the search ends,
+    when no step is left between any two bins; a bin that empties is gone."""
     fill = [sum(lengths[i] for i in b) for b in bins]
-    for _ in range(passes):
-        moved = False
-        under = sorted((k for k in range(len(bins)) if 0 < fill[k] < limit), key=lambda k: fill[k])
-        if len(under) < 2:
-            break
-        for n, a in enumerate(under):
-            for b in under[n + 1 :][-near:][::-1]:
-                if not fill[a]:
-                    break
-                if 0 < fill[a] <= fill[b] < limit:
-                    moved |= _improve(bins[a], bins[b], a, b, lengths, fill, limit)
-        if not moved:
-            break
+    while _search(bins, lengths, fill, limit):
+        pass
     return [b for b in bins if b]
 
 
-def _improve(low: list[int], high: list[int], a: int, b: int, lengths: list[int], fill: list[int], limit: int) -> bool:
-    """Moves and exchanges from bin ``a`` into the fuller bin ``b`` while they fill ``b`` more."""
+def _search(bins: list[list[int]], lengths: list[int], fill: list[int], limit: int) -> bool:
+    """One pass over the underfull bins from the emptiest on; each has all that are as full or fuller for partners."""
+    under = [(f, k) for k, f in enumerate(fill) if 0 < f < limit]
+    heapq.heapify(under)
+    partners = _Partners(limit)
+    for f, k in under:
+        partners.put(k, {lengths[i] for i in bins[k]}, f)
     done = False
-    while low and fill[b] < limit:
-        room = limit - fill[b]
-        mine = sorted(low, key=lambda i: lengths[i])
-        sizes = [lengths[i] for i in mine]
-        best: tuple[int, tuple[int, ...], int | None] = (0, (), None)
-        for theirs in (None, *high):
-            space = room + (lengths[theirs] if theirs is not None else 0)
-            least = lengths[theirs] if theirs is not None else 0
-            at = bisect.bisect_right(sizes, space) - 1
-            if at >= 0 and sizes[at] - least > best[0]:
-                best = (sizes[at] - least, (mine[at],), theirs)
-            if theirs is not None:  # two for one
-                i, j = 0, len(mine) - 1
-                while i < j:
-                    two = sizes[i] + sizes[j]
-                    if two > space:
-                        j -= 1
-                    else:
-                        if two - least > best[0]:
-                            best = (two - least, (mine[i], mine[j]), theirs)
-                        i += 1
-            if best[0] == room:
+    while under:
+        f, a = heapq.heappop(under)
+        if f != fill[a]:  # filled since
+            continue
+        partners.drop(a)
+        low = bins[a]
+        while low:
+            sizes = np.array([lengths[i] for i in low], np.int64)
+            sizes, first = np.unique(sizes, return_index=True)
+            twice = [(v, [k for k, i in enumerate(low) if lengths[i] == v][:2]) for v in sizes.tolist()] if len(sizes) < len(low) else []
+            i, j = np.triu_indices(len(sizes), 1)
+            same = [(2 * v, *ks) for v, ks in twice if len(ks) == 2]
+            sums = np.concatenate([sizes, sizes[i] + sizes[j], np.array([x for x, _, _ in same], np.int64)])
+            least = np.searchsorted(np.maximum.accumulate(partners.reach), sums)  # the shortest that each may replace
+            best = int(np.argmax(sums - least))
+            gain, y = int(sums[best] - least[best]), int(least[best])
+            if gain <= 0:
                 break
-        gain, out, theirs = best
-        if not gain:
-            break
-        for i in out:
-            low.remove(i)
-            high.append(i)
-        if theirs is not None:
-            high.remove(theirs)
-            low.append(theirs)
-        fill[a] -= gain
-        fill[b] += gain
-        done = True
+            if best < len(sizes):
+                out = [low[first[best]]]
+            elif (at := best - len(sizes)) < len(i):
+                out = [low[first[i[at]]], low[first[j[at]]]]
+            else:
+                out = [low[k] for k in same[at - len(i)][1:]]
+            b = partners.roomiest(y)
+            for x in out:
+                low.remove(x)
+            if y:
+                theirs = next(x for x in bins[b] if lengths[x] == y)
+                bins[b].remove(theirs)
+                low.append(theirs)
+            bins[b].extend(out)
+            fill[a] -= gain
+            fill[b] += gain
+            partners.put(b, {lengths[x] for x in bins[b]}, fill[b])
+            if fill[b] < limit:
+                heapq.heappush(under, (fill[b], b))
+            done = True
     return done
 
 
@@ -239,28 +266,30 @@ def best_fit_packing(pieces: DataFrame, limit: int = LIMIT, group: int = GROUP)
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for each row of :func:`tokenized`.
 
     Full pieces have a sequence each. The rest are dealt at random into tasks of about ``group`` pieces and packed
-    there; the bins that stay underfull by more than one part in 64 are dealt anew among fewer tasks and packed
-    again, until a single task of bounded size has had what was left over or nothing is left. Offsets follow doc_id and
+    there; the bins that stay underfull are dealt anew and packed again, until a single task of bounded size has had
+    what was left over, nothing is left or a round makes no fewer sequences of it than there were. Offsets follow doc_id and
     piece. Sequence ids have no gaps promised. Empty texts have one token, the end. Rows with a null or repeated
     doc_id are packed like any other; an empty table gives an empty result.
     """
     spark = pieces.sparkSession
     pieces = written(pieces, "pieces")
     columns = pieces.columns
+    found = [*columns, "sequence_id", "offset"]
     full = pieces.filter(F.col("length") == limit).withColumns({"sequence_id": -F.lit(1) - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    left, done, base = pieces.filter(F.col("length") < limit), [full.select(*columns, "sequence_id", "offset")], 0
+    left, kept, best, done, base = pieces.filter(F.col("length") < limit), None, None, [full.select(*found)], 0
+    waste = F.col("spare") > 0
     while n := left.count():
         tasks = -(-n // group)
         packed = written(left.repartition(tasks, F.xxhash64("doc_id", "piece", F.lit(base))).mapInArrow(_packer(limit, base), PLACED), "packed")
-        waste = F.col("spare") > (0 if tasks == 1 else limit // 64)
-        if tasks == 1 or not packed.filter(waste).limit(1).count():
-            done.append(packed.select(*columns, "sequence_id", "offset"))
+        if kept is not None and packed.filter("offset = 0").count() >= best:  # nothing saved: the round before stays
+            done.append(kept)
             break
-        done.append(packed.filter(~waste).select(*columns, "sequence_id", "offset"))
-        left, before, base = packed.filter(waste).select(*columns), n, base + 1
-        if base > 60 or left.count() > 0.8 * before:  # the pieces are too long to share bins better
-            done.append(packed.filter(waste).select(*columns, "sequence_id", "offset"))
+        if tasks == 1 or base == 120:  # ids have seven bits for the round
+            done.append(packed.select(*found))
             break
+        done.append(packed.filter(~waste).select(*found))
+        left, base, kept = packed.filter(waste).select(*columns), base + 1, packed.filter(waste).select(*found)
+        best = kept.filter("offset = 0").count()
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

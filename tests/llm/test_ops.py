@@ -376,6 +376,32 @@ def test_local_search_empties_bins():
         assert -(-sum(many) // 100) <= len(pack(many, 100)) <= len(best_fit(many, 100))
 
 
+def test_local_search_reaches_all_bins(spark):
+    from quire.llm.packing import best_fit, best_fit_packing, pack
+
+    random.seed(9)
+    for lo, hi, n in ((25, 45, 60), (3, 30, 80), (20, 60, 80)):
+        lengths = [random.randint(lo, hi) for _ in range(n)]
+        bins = pack(lengths, 100)
+        fill = [sum(lengths[i] for i in b) for b in bins]
+        for a, low in enumerate(bins):
+            sums = {lengths[i] for i in low} | {lengths[i] + lengths[j] for i in low for j in low if i != j}
+            for b, high in enumerate(bins):
+                if a != b and fill[a] <= fill[b]:
+                    assert not any(0 < x - y <= 100 - fill[b] for x in sums for y in {0, *(lengths[i] for i in high)})
+    lengths = [random.randint(900, 1900) for _ in range(2000)]
+    assert len(pack(lengths, 4096)) < 0.98 * len(best_fit(lengths, 4096))
+    pieces = spark.createDataFrame([(k, 0, 0, n, 0) for k, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = best_fit_packing(pieces, group=500).collect()
+    assert sorted(r.doc_id for r in got) == list(range(2000)) and len({r.sequence_id for r in got}) < 0.98 * len(best_fit(lengths, 4096))
+    for s in {r.sequence_id for r in got}:
+        at = 0
+        for r in sorted((r for r in got if r.sequence_id == s), key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 4096
+
+
 # --- token matrix
 
 
