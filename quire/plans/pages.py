@@ -25,9 +25,8 @@ def query(sql: str | None = None):
 
 
 def made_chars(spark, sf_dir):
-    """Characters of the short lines of the made layout."""
-    short = layout(spark, sf_dir).filter("length(text) between 1 and 40")
-    return chars.char_boxes(short).withColumns({"size": F.lit(10.0), "font": F.lit("ABCDEF+Times-Roman")})
+    """Characters of the lines of the made layout."""
+    return chars.char_boxes(layout(spark, sf_dir)).withColumns({"size": F.lit(10.0), "font": F.lit("ABCDEF+Times-Roman")})
 
 
 @query(f"""WITH b AS (SELECT doc_id, page, {rules.digits_key(DUCK, 'text')} AS key FROM {LAYOUT} WHERE y1 < 400 * 0.15 OR y0 > 400 * 0.85), n AS (SELECT doc_id, count(DISTINCT page) AS n FROM {LAYOUT} GROUP BY doc_id)
@@ -124,7 +123,7 @@ def scripts(spark, sf_dir):
 
 @query()
 def point_hits(spark, sf_dir):
-    points = layout(spark, sf_dir).filter("line_ix % 10 = 0").select("doc_id", "page", F.col("line_ix").alias("point_ix"), (F.col("x0") + 7).alias("x"), (F.col("y0") + 1).alias("y"))
+    points = layout(spark, sf_dir).select("doc_id", "page", F.col("line_ix").alias("point_ix"), (F.col("x0") + 7).alias("x"), (F.col("y0") + 1).alias("y"))
     return chars.hit(made_chars(spark, sf_dir), points)
 
 

@@ -210,3 +210,15 @@ def test_matching(spark):
     files_ = spark.createDataFrame([(1, "the flow of lava", "smith", 1999), (2, "nothing alike", "nobody", 1900)], "file_id long, title string, author string, year int")
     got = match(files_, records).collect()
     assert [(r.file_id, r.record, round(r.score, 2)) for r in got] == [(1, "k1", 1.0)]
+
+
+def test_made_characters_are_whole(spark, tmp_path):
+    from quire.plans import pages
+
+    texts = ["short", "a line of more than forty characters, as prose has them all the time", "third"] * 5
+    spark.createDataFrame([(1, "\n".join(texts))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert pages.made_chars(spark, str(tmp_path)).filter("doc_id = 1").count() == sum(map(len, texts))
+    found = {r.line_ix: r.text for r in pages.ligatures_and_accents(spark, str(tmp_path)).filter("doc_id = 1").collect()}
+    assert [found[k] for k in sorted(found)] == texts
+    hits = pages.point_hits(spark, str(tmp_path)).filter("doc_id = 1").collect()
+    assert sorted((r.point_ix, r.line_ix) for r in hits) == [(k, k) for k in range(len(texts))]
