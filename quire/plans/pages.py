@@ -137,9 +137,9 @@ def known_words(spark, sf_dir):
 @query()
 def entity_match(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    title = uni.normalized(F.substr("text", F.lit(1), F.lit(60)))
+    title = uni.normalized(F.substring_index("text", "\n", 1))  # the first line, whole
     records = docs.select(F.col("doc_id").alias("key"), title.alias("title"), F.col("source").alias("author"), F.array().cast("array<string>").alias("others"), (2000 + F.col("n_chars") % 20).cast("int").alias("year"))
-    files = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("file_id"), uni.normalized(F.substr("text", F.lit(1), F.lit(45))).alias("title"), F.col("source").alias("author"), (2000 + F.col("n_chars") % 20).cast("int").alias("year"))
+    files = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("file_id"), title.alias("title"), F.col("source").alias("author"), (2000 + F.col("n_chars") % 20).cast("int").alias("year"))
     return matching.match(files, records)
 
 

@@ -222,3 +222,13 @@ def test_made_characters_are_whole(spark, tmp_path):
     assert [found[k] for k in sorted(found)] == texts
     hits = pages.point_hits(spark, str(tmp_path)).filter("doc_id = 1").collect()
     assert sorted((r.point_ix, r.line_ix) for r in hits) == [(k, k) for k in range(len(texts))]
+
+
+def test_titles_are_whole_lines(spark, tmp_path):
+    from quire.plans import pages
+
+    opening = "the collected papers of the society for the study of old manuscripts"
+    texts = [f"{opening} on their inks and bindings\nx", f"{opening} catalogue with seventy plates\ny", "something else altogether\nz"]
+    spark.createDataFrame([(20 + k, t, "s", 10) for k, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    (found,) = pages.entity_match(spark, str(tmp_path)).collect()
+    assert (found.file_id, found.record, found.ambiguous) == (20, 20, False)
