@@ -110,7 +110,8 @@ def keys(sets: list[np.ndarray], seed: int = 0, percent: int = PERCENT) -> tuple
     n = np.array([len(s) for s in sets], np.int64)
     own, above = level(n), level(100 * n // percent)
     owners, found, spoilt = [], [], []
-    for which, levels in ((np.flatnonzero(n), own), (np.flatnonzero((n > 0) & (above != own)), above)):
+    for step in range(int((above - own).max(initial=0)) + 1):  # a partner's size may be of any level from own to above
+        which, levels = np.flatnonzero((n > 0) & (own + step <= above)), own + step
         small = which[levels[which] < 0]
         for i in small.tolist():
             s = sets[i][: n[i] - -(-percent * int(n[i]) // 100) + 1]

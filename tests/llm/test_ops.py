@@ -261,6 +261,17 @@ def test_jaccard_join(spark, monkeypatch, words, percent, members):
     assert got == plain_join(rows, words, percent)
 
 
+def test_keys_of_all_levels():
+    from quire.llm.jaccard_join import keys
+
+    rng = np.random.default_rng(4)
+    for small, large, percent in ((60, 90, 60), (70, 130, 50), (200, 390, 50)):
+        for seed in range(5):
+            s = np.unique(rng.integers(0, 1 << 63, large).astype(np.uint64))
+            owner, key, spoilt = keys([np.sort(rng.permutation(s)[:small]), s], seed, percent)
+            assert len(spoilt) or set(key[owner == 0].tolist()) & set(key[owner == 1].tolist())
+
+
 def test_packed_sets():
     from quire.llm.jaccard_join import packed_set, unpacked_set
 
