@@ -9,9 +9,11 @@ holds them or a round saves no sequence.
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -20,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tiktoken._tiktoken import CoreBPE
 from tokenizers import Tokenizer
 
 from quire.llm.common import small_batches, written
@@ -34,40 +37,56 @@ PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SPELLED = {b: chr(b) for b in PRINTED} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in PRINTED)}
 #: Texts with these go whole to the tokenizer: its special tokens, characters whose lower case depends on their neighbours, separators that only Python takes for white space, and what lies beyond the first plane.
 WHOLE = re.compile("<\\||[Σİͅ\x1c-\x1f\U00010000-\U0010ffff]")
-CACHED = 150_000
+#: The end of a word, as a byte that UTF-8 never has.
+END = b"\xff"
+#: Words in a generation of the cache; there are two.
+CACHED = 250_000
 
 
 class WordBpe:
-    """Ids of word_bpe_49k.json by way of its own model, word by word: equal words are encoded once and kept.
+    """Ids of word_bpe_49k.json word by word: equal words are encoded once and kept while they are in use.
 
-    The file's normalizer lower-cases and its splitter drops white space, so no token crosses white space.
+    The file's normalizer lower-cases and its splitter drops white space, so no token crosses white space. Words are
+    joined by the file's own merges in their order, given as ranks of byte strings. Words that a generation of the
+    cache has met replace the one before, so that common words stay.
     """
 
     def __init__(self, path: str):
-        self.whole, self.chunks, self.words = Tokenizer.from_file(path), {}, {}
-        self.model = self.whole.model
+        self.whole, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        spelled = {c: b for b, c in SPELLED.items()}
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        mark = model["end_of_word_suffix"]
+        ranks = {bytes(spelled[c] for c in token.removesuffix(mark)) + END * token.endswith(mark): i for token, i in model["vocab"].items()}
+        if len(ranks) < len(model["vocab"]) or any(model["vocab"][a + b] != 2 * 256 + k for k, (a, b) in enumerate(model["merges"])):
+            raise ValueError("only vocabularies in the order of their merges, after the single bytes, are read")
+        self._joined = CoreBPE(ranks, {}, ".+").encode_single_piece
 
     def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
+        ids = self.young.get(word) or self.old.get(word)
         if ids is None:
-            ids = self.words[word] = np.array([t.id for t in self.model.tokenize(word.encode().decode("latin1").translate(SPELLED))], "<u4").tobytes()
+            ids = array("I", self._joined(word.encode() + END)).tobytes()
+        self.young[word] = ids
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
-        ids = self.chunks[chunk] = b"".join(map(self._word, SPLIT.findall(chunk)))
+        if chunk.isalpha():
+            return self._word(chunk)
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = b"".join([self.young.get(w) or self._word(w) for w in SPLIT.findall(chunk)])
+        self.young[chunk] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers, without special tokens."""
         if WHOLE.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.chunks) > CACHED:
-            self.chunks.clear()
-        if len(self.words) > CACHED:
-            self.words.clear()
+        if len(self.young) > CACHED:
+            self.old, self.young = self.young, {}
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        get, make = self.chunks.get, self._chunk
+        get, make = self.young.get, self._chunk
         return b"".join([get(c) or make(c) for c in text.lower().split()])
 
 
@@ -79,10 +98,10 @@ def word_bpe(path: str) -> WordBpe:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def tokenized(docs: DataFrame, path: str, limit: int = LIMIT, end: int = 1, ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32), with ``ids`` the ids too: each text's tokens and then ``end``, cut at every ``limit`` tokens."""
+def piece_rows(path: str, limit: int, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[list[tuple]]]:
+    """A function from batches of (doc_id, text) to lists of (doc_id, piece, start, length, ids_crc32, ids)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         encode, last = word_bpe(path).encode, np.array([end], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
@@ -91,13 +110,21 @@ def tokenized(docs: DataFrame, path: str, limit: int = LIMIT, end: int = 1, ids:
                 for k, at in enumerate(range(0, len(whole), 4 * limit)):
                     part = whole[at : at + 4 * limit]
                     rows.append((one, k, at // 4, len(part) // 4, zlib.crc32(part), part))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=False)]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(columns[5], pa.binary())], [*names, "ids"]) if ids else pa.RecordBatch.from_arrays(arrays, names)
+            yield rows
+
+    return run
+
+
+def tokenized(docs: DataFrame, path: str, limit: int = LIMIT, end: int = 1) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32): each text's tokens and then ``end``, cut at every ``limit`` tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in piece_rows(path, limit, end)(batches):
+            columns = list(zip(*rows, strict=True))[:5] or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], [c.split()[0] for c in PIECES.split(", ")])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES + ", ids binary" * ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
 
 class _Bins:
