@@ -1,7 +1,7 @@
 """Token ids as packed binary matrices.
 
-Texts become ids with an end token; longer ones than a row are cut into pieces without loss. Each task packs its pieces
-best fit, longest first; the tightest row with enough room is found in a segment tree over the rooms. A row of the
+Texts become ids with an end token; longer ones than a row are cut into pieces without loss. The task that reads them
+packs its pieces, so many at once as its memory may hold, best fit, longest first; the tightest row with enough room is found in a segment tree over the rooms. A row of the
 matrix has its ids in a fixed width, the cumulative lengths of its segments, and positions that start anew with each.
 """
 
@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import partitions, small_batches
-from quire.llm.packing import LIMIT, tokenized
+from quire.llm.common import small_batches
+from quire.llm.packing import LIMIT, piece_rows
 
-#: Pieces that are packed at once.
-AT_ONCE = 20_000
+#: Tokens and pieces that are packed at once.
+AT_ONCE, PIECES_AT_ONCE = 1 << 23, 1 << 17
 SCHEMA = "sequence_id long, n_tokens int, doc_ids array<long>, pieces array<int>, starts array<long>, cu_seqlens array<int>, resets array<int>, ids binary"
 
 
@@ -77,31 +77,28 @@ def positions(cu_seqlens: list[int]) -> np.ndarray:
     return np.arange(ends[-1]) - np.repeat(ends[:-1], np.diff(ends))
 
 
-def token_matrix(docs: DataFrame, path: str, limit: int = LIMIT, width: int = 2) -> DataFrame:
+def token_matrix(docs: DataFrame, path: str, limit: int = LIMIT, width: int = 2, end: int = 1) -> DataFrame:
     """Rows of the packed matrix: sequence_id, n_tokens, the segments' doc_ids, pieces and starts in their documents, cu_seqlens (from 0 to n_tokens), resets (where positions start anew) and ids (little-endian unsigned integers of ``width`` bytes).
 
     Every token of every text is in one row, so the texts' ids can be put together again. Null and empty texts have the
     end token alone. Null and repeated doc_ids are packed like others; an empty table gives an empty result. Ids that
     ``width`` bytes don't hold are an error.
     """
-    pieces = tokenized(docs, path, limit, ids=True).select("doc_id", "piece", "start", "length", "ids")
-    rows = pieces.repartition(partitions(docs.sparkSession), F.xxhash64("doc_id", "piece", "start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base, kind, held = TaskContext.get().partitionId() << 32, {2: "<u2", 4: "<u4"}[width], []
-        number = 0
+        base, kind, held, tokens, number = TaskContext.get().partitionId() << 32, {2: "<u2", 4: "<u4"}[width], [], 0, 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            nonlocal number, held
+            nonlocal number
             held.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
             packed = best_fit_decreasing([r[3] for r in held], limit)
             for at in range(0, len(packed), 500):
                 built = []
                 for row in packed[at : at + 500]:
                     mine = [held[i] for i in sorted(row)]
-                    ids = np.frombuffer(b"".join(r[4] for r in mine), "<u4")
+                    ids = np.frombuffer(b"".join([r[5] for r in mine]), "<u4")
                     if len(ids) and int(ids.max()) >> (8 * width):
                         raise ValueError(f"ids don't fit {width} bytes")
                     ends = np.cumsum([0, *(r[3] for r in mine)]).tolist()
@@ -109,13 +106,14 @@ def token_matrix(docs: DataFrame, path: str, limit: int = LIMIT, width: int = 2)
                     number += 1
                 kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*built, strict=True), kinds, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
-            held = []
 
-        for batch in batches:
-            held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            if len(held) >= AT_ONCE:
+        for rows in piece_rows(path, limit, end)(batches):
+            held += rows
+            tokens += sum([r[3] for r in rows])
+            if tokens >= AT_ONCE or len(held) >= PIECES_AT_ONCE:
                 yield from out()
+                held, tokens = [], 0
         yield from out()
 
     small_batches(docs.sparkSession)
-    return rows.mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
