@@ -1,14 +1,16 @@
 """URL filter over a sorted array of digests.
 
 The rules' strings (host and path) become unsigned 64-bit xxhash keys, sorted, in a file that each worker maps into
-memory; the strings lie in a second file in the same order. A url's candidates (its host and each parent domain, with
-each path length that the rules have) are probed by one binary search over all candidates of a batch, and a key that
+memory; the strings lie in a second file in the same order. A url's candidates (those of its host and parent domains that
+have as many labels as some rule, with each path length that the rules have) are probed by one binary search over all candidates of a batch, and a key that
 is found counts only if the stored string is the candidate's, so that collisions do no harm.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,6 +39,7 @@ class DigestArray:
     text: np.ndarray
     blocks: np.ndarray
     path_lengths: list[int]
+    label_counts: list[int]
 
     @staticmethod
     def write(rules: Rules, folder: str, hashed=xxhash.xxh64_intdigest) -> None:
@@ -49,13 +52,14 @@ class DigestArray:
         np.save(f"{folder}/ends.npy", np.cumsum([0, *(len(r) for _, r, _ in rows)]).astype(np.int64))
         np.save(f"{folder}/text.npy", np.frombuffer(b"".join(r for _, r, _ in rows) or b"\0", np.uint8))
         np.save(f"{folder}/blocks.npy", np.array([b for _, _, b in rows], bool))
+        np.save(f"{folder}/labels.npy", np.array(sorted({r.partition("/")[0].count(".") + 1 for r in first}), np.int64))
         np.save(f"{folder}/lengths.npy", np.array(sorted({len(r.partition("/")[1] + r.partition("/")[2]) for r in first}), np.int64))
 
     @staticmethod
     def map(prefix: str) -> DigestArray:
         """Maps the files ``<prefix>keys.npy`` and so on into memory."""
-        keys, ends, text, blocks, lengths = (np.load(f"{prefix}{n}.npy", mmap_mode="r") for n in PARTS)
-        return DigestArray(keys, ends, text, blocks, lengths.tolist())
+        keys, ends, text, blocks, lengths, labels = (np.load(f"{prefix}{n}.npy", mmap_mode="r") for n in PARTS)
+        return DigestArray(keys, ends, text, blocks, lengths.tolist(), labels.tolist())
 
     def probe(self, candidates: list[bytes], hashed=xxhash.xxh64_intdigest) -> np.ndarray:
         """The rule's number for each candidate, or -1."""
@@ -82,12 +86,12 @@ class DigestArray:
         for n, (host, path) in enumerate(zip(hosts, paths, strict=True)):
             if not host:
                 continue
-            labels = host.split(".")
+            labels = host.rsplit(".", self.label_counts[-1] if self.label_counts else 0)
+            domains = [".".join(labels[-k:]) for k in self.label_counts if k < len(labels)] + [host] * (len(labels) in self.label_counts)
             for length in self.path_lengths:
                 if length <= len(path):
-                    for k in range(len(labels)):
-                        candidates.append((".".join(labels[k:]) + path[:length]).encode())
-                        owner.append(n)
+                    candidates += [(d + path[:length]).encode() for d in domains]
+                    owner += [n] * len(domains)
         rules: list[str | None] = [None] * len(hosts)
         verdicts = [default] * len(hosts)
         found = self.probe(candidates)
@@ -106,12 +110,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.coalesce(host, F.lit(""))), F.coalesce(path, F.lit(""))
 
 
-PARTS = ("keys", "ends", "text", "blocks", "lengths")
+PARTS = ("keys", "ends", "text", "blocks", "lengths", "labels")
 
 
 def ship(spark: SparkSession, rules: Rules) -> str:
     """Writes the array, hands its files to all executors with Spark's own file server, and returns their common prefix there."""
     name, folder = f"quire-urls-{uuid.uuid4().hex}", tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors that come later fetch the files as well
     DigestArray.write(rules, folder)
     for part in PARTS:
         os.rename(f"{folder}/{part}.npy", f"{folder}/{name}-{part}.npy")
