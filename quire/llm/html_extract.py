@@ -27,7 +27,7 @@ from quire.llm.common import small_batches, written
 from quire.llm.url_filter import host_and_path
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|object|select|button)\b[^>]*(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|select|button)\b[^>]*(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*>|<[!?][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
@@ -40,7 +40,10 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "body": {"head"}}
 #: Elements, and words of their class, id or role, that are not the article's.
 OUT_TAGS = set("head title nav footer aside form menu dialog".split())
-OUT_WORDS = set("nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer colophon sidebar aside notice notices cookie cookies consent gdpr banner alert ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments reply replies respond disqus share sharing social related newsletter subscribe signup login search popup modal overlay widget pagination pager".split())
+OUT_WORDS = set("nav navbar navigation menu breadcrumb breadcrumbs sidebar aside notice notices cookie cookies consent gdpr ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments reply replies respond disqus share sharing social related newsletter subscribe signup login search popup modal pagination pager".split())
+#: The same, but around the article only: in it, and in a name that begins as the article's, they name its own parts.
+PAGE_WORDS = set("header masthead topbar footer colophon banner alert overlay widget".split())
+ARTICLE_WORDS = set("article post entry content story".split())
 #: Names that begin so say what an element holds or lacks, and not what it is.
 STATES = set("has have with without no is hide show".split())
 
@@ -98,10 +101,11 @@ class Page:
             hidden |= key == "hidden" or key == "aria-hidden" and value == "true"
             for name in value.split():
                 found = WORDS.findall(name)
-                words.update(found if found[:1] and found[0] not in STATES else ())
+                if found and found[0] not in STATES:
+                    words.update(OUT_WORDS.intersection(found) if found[0] in ARTICLE_WORDS else found)
         within = any(t[0] in ("article", "main") for t in self._stack)
         by_tag = hidden or tag in OUT_TAGS or tag == "header" and not within
-        by_word = bool(words & OUT_WORDS) and (tag not in ("html", "body", "article", "main") or tag == "article" and within)
+        by_word = bool(words & (OUT_WORDS if within else OUT_WORDS | PAGE_WORDS)) and (tag not in ("html", "body", "article", "main") or tag == "article" and within)
         if marks and not out and (by_tag or by_word or tag in ("article", "main")):
             self._wrappers.add(marks[0])  # a left-out role, or the article, within another: the outermost is around the page
         out = out or by_tag
