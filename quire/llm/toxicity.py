@@ -5,8 +5,9 @@ whole word; the longest that the fit knows decides, and each one's rate has its
 that rare words lean on their stem and unknown ones on the overall rate. A linear-time scan over a text's word scores
 finds all maximal segments (Ruzzo and Tompa). A segment's chance under clean text follows the extreme-value law for
 segment scores (Karlin and Altschul): about K * words * exp(-lambda * score) of them are expected, where lambda solves
-the moment equation on clean words' scores. The evidence of a text's significant segments is calibrated to a
-probability on labelled rows that the scores were not fitted on.
+the moment equation on clean words' scores, and K is the likeliest under the law for the best segments of clean texts.
+The evidence of a text's significant segments is calibrated to a probability on labelled rows that the scores were not
+fitted on.
 """
 
 from __future__ import annotations
@@ -23,16 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches
+from quire.llm.common import small_batches, written
 
 WORD = re.compile(r"\w+")
 STEMS = (4, 6, 8)
-#: At most so many labelled rows are fitted on, those with the smallest hashes of their ids, and at most so many features kept, those with the largest counts.
-FIT_ROWS, FEATURES = 12_000, 200_000
-#: Weight of the prior in counts; a feature's count, at least; its count in one text, at most; expected chance segments that make one significant.
-PRIOR, LEAST, MOST, SIGNIFICANT = 2.0, 5, 6, 0.2
+#: At most so many labelled rows are fitted on, those with the smallest hashes of their ids.
+FIT_ROWS = 12_000
+#: Texts that have a feature, at least; weight of the prior in counts; expected chance segments that make one significant.
+LEAST, PRIOR, SIGNIFICANT = 5, 2.0, 0.2
 #: Scores are clipped here and shifted down, so that a segment must earn its words.
-CLIP, SHIFT, K = 8.0, 0.3, 0.1
+CLIP, SHIFT = 8.0, 0.3
 
 
 def features(word: str) -> list[str]:
@@ -68,6 +69,7 @@ class Model:
     rates: dict[str, float]
     base: float
     scale: float = 1.0
+    k: float = 0.1
     slope: float = 1.0
     offset: float = -2.0
 
@@ -96,7 +98,7 @@ class Model:
     def _found(self, spans: list | None, scores: list[float]) -> tuple[list, float]:
         if not scores or max(scores) <= 0:
             return [], 0.0
-        chance, out, evidence = math.log(K * len(scores)), [], 0.0
+        chance, out, evidence = math.log(self.k * len(scores)), [], 0.0
         for a, b, s in segments(scores):
             bits = self.scale * s - chance
             if bits >= -math.log(SIGNIFICANT):
@@ -123,7 +125,13 @@ def scale_of(scores: Counter) -> float:
     for _ in range(60):
         middle = (low + high) / 2
         low, high = (middle, high) if excess(middle) < 0 else (low, middle)
-    return min(low, 1.0)
+    return low
+
+
+def k_of(best: list[tuple[float, int]], scale: float) -> float:
+    """The likeliest K for (best segment's score, words) of clean texts, if the score of a text of n words is at most x with chance exp(-K n exp(-lambda x))."""
+    expected = sum(n * math.exp(-scale * x) for x, n in best)
+    return len(best) / expected if expected > 0 else 0.1
 
 
 def calibrated(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
@@ -150,7 +158,7 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFr
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Learns from :func:`labelled`. Without labelled rows of both kinds the base rate is 1/2 and nothing is significant."""
     small_batches(docs.sparkSession)
-    chosen = labelled(docs, labels, rows)
+    chosen = written(labelled(docs, labels, rows), "labelled")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, hit = Counter(), Counter()
@@ -159,24 +167,21 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([hit[f] for f in seen], pa.int64())], ["feature", "n", "hits"])
 
         for batch in batches:
-            for part, toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if part != 4:
-                    mine: Counter = Counter()
-                    for word, n in Counter(WORD.findall(text.lower())).items():
-                        for f in features(word):
-                            mine[f] = min(MOST, mine[f] + n)
-                    mine[""] = 1
-                    seen.update(mine)
-                    if toxic:
-                        hit.update(mine)
+            for toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mine = {f for word in set(WORD.findall(text.lower())) for f in features(word)}
+                seen.update(mine)
+                seen[""] += 1
+                if toxic:
+                    hit.update(mine)
+                    hit[""] += 1
             if len(seen) > 300_000:
                 yield out()
                 seen.clear(), hit.clear()
         if seen:
             yield out()
 
-    counts = chosen.mapInArrow(counted, "feature string, n long, hits long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).filter((F.col("n") >= LEAST) | (F.col("feature") == ""))
-    table = {f: (n, h) for f, n, h in counts.orderBy(F.col("feature") != "", F.desc("n"), "feature").limit(FEATURES).toPandas().itertuples(index=False)}
+    counts = chosen.filter("part != 4").select("toxic", "text").mapInArrow(counted, "feature string, n long, hits long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).filter((F.col("n") >= LEAST) | (F.col("feature") == ""))
+    table = {f: (n, h) for f, n, h in counts.toPandas().itertuples(index=False)}
     n, h = table.pop("", (0, 0))
     model = Model({}, (h + 1) / (n + 2))
     if not 0 < h < n:
@@ -188,25 +193,32 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
             if k < len(f.removesuffix("-")):
                 mean = model.rates.get(f[:k] + "-", mean)
         model.rates[f] = min(0.9999, (table[f][1] + PRIOR * mean) / (table[f][0] + PRIOR))
+    held = chosen.filter("part = 4").select("toxic", "text")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of clean texts: (score, how often, null) of words, and (best segment's score, words, 1) of each."""
+        for batch in batches:
+            words, best, cache = Counter(), [], {}
+            for toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                scores = [] if toxic else [model._cached(w, cache) for w in WORD.findall(text.lower())]
+                words.update(round(s, 1) for s in scores)
+                if scores:
+                    best.append((max((s for _, _, s in segments(scores)), default=0.0), len(scores), 1))
+            rows = [*((s, n, None) for s, n in words.items()), *best]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 3, (pa.float64(), pa.int64(), pa.int64()), strict=True)], ["x", "n", "text"])
+
+    found = held.mapInArrow(clean, "x double, n long, text long").groupBy("x", F.when(F.col("text") == 1, F.col("n")).alias("words")).agg(F.sum("n").alias("n"), F.count("text").alias("texts")).collect()  # at most a row a labelled text, and one for each tenth from -CLIP to CLIP
+    model.scale = scale_of(Counter({r.x: r.n for r in found if r.words is None}))
+    model.k = k_of([(r.x, r.words) for r in found if r.words is not None for _ in range(r.texts)], model.scale)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, words, cache = [], Counter(), {}
-            for part, toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if part == 4:
-                    if not toxic:
-                        words.update(round(model._cached(w, cache), 1) for w in WORD.findall(text.lower()))
-                    rows.append((toxic, model.evidence(text, cache)))
-            kinds = [*rows, *((2 + n, s) for s, n in words.items())]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kinds], pa.int64()), pa.array([float(x) for _, x in kinds], pa.float64())], ["kind", "x"])
-
-    clean: Counter = Counter()
-    for kind, x in chosen.mapInArrow(scored, "kind long, x double").filter("kind > 2").groupBy("x").agg(F.sum(F.col("kind") - 2).alias("n")).select("n", "x").collect():
-        clean[x] = kind
-    model.scale = scale_of(clean)
-    held = chosen.mapInArrow(scored, "kind long, x double").filter("kind < 2").toPandas()
-    if held["kind"].nunique() == 2:
-        model.slope, model.offset = calibrated(held["x"].to_numpy(), held["kind"].to_numpy().astype(float))
+            cache: dict[str, float] = {}
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.evidence(t, cache) for t in batch.column(1).to_pylist()], pa.float64())], ["toxic", "x"])
+
+    evidence = held.mapInArrow(scored, "toxic int, x double").toPandas()
+    if evidence["toxic"].nunique() == 2:
+        model.slope, model.offset = calibrated(evidence["x"].to_numpy(), evidence["toxic"].to_numpy().astype(float))
     return model
 
 
@@ -220,7 +232,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     gives an empty result, and other columns are not looked at.
     """
     small_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES entries
+    model = docs.sparkSession.sparkContext.broadcast(model)  # features that LEAST of FIT_ROWS texts have
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
