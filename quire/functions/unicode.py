@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 
@@ -35,10 +36,11 @@ def strip_accents_text(t: str) -> str:
     return "".join("".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x)) if ord(c) < 0x250 or 0x1E00 <= ord(c) <= 0x1EFF else c for c in t)
 
 
-def norm_text(t: str) -> str:
-    """For matching: NFKC, case folded, accents off, everything but letters and digits a space."""
-    t = strip_accents_text(unicodedata.normalize("NFKC", t.replace("&amp_", "&")).casefold()).replace("ß", "ss")
-    return " ".join(re.sub(r"[\W_]+", " ", t).split())
+def norm_text(t: str, cased: bool = False) -> str:
+    """For matching: character references are read ("&amp_" is one, too), then NFKC, folded unless ``cased``, without accents; what is left are words of letters and digits, one space apart."""
+    read = unicodedata.normalize("NFKC", html.unescape(t.replace("&amp_", "&")))
+    bare = strip_accents_text(read if cased else read.casefold())
+    return " ".join(re.findall(r"[^\W_]+", bare.replace("ß", "ss")))
 
 
 def decode_bytes(b: bytes) -> str:
