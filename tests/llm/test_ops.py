@@ -1,6 +1,7 @@
 """The ten operators against plain Python, with nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -74,6 +75,7 @@ def test_url_filter(spark):
     from quire.llm.url_filter import url_filter
 
     urls = ["http://A.Example.net/en/1?x", "https://example.net/de/", "http://example.net", "http://www.example.com/de/q#f", "ftp://x.org/fr/", "x.org/fr/", None, "", "http://org/fr/a", "http://notexample.net/en/", "a://b://example.net/en/", "http://net/", "HTTP://X.NET?/en/", "http://é.net/"]
+    urls += ["http://" + "a." * 100_000 + "Example.net/en/x", "http://x.net/" + "p" * 200_000, urls[0]]
     df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string").withColumn("host", F.lit("clash"))
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter(df, URL_RULES).collect()}
     for k, u in enumerate(urls):
@@ -201,7 +203,7 @@ def test_suffix_slices(spark, monkeypatch):
     monkeypatch.setattr(s, "SLICE", 300)
     cut = s.Texts([text, b"", text[:250]])
     whole = np.zeros(len(text), int)
-    first, last, at = cut.runs(s.ranked(cut.data)[0])
+    first, last, at = cut.runs(s.ranks_of_gram(cut.data))
     owner, pos = cut.place(first)
     for o, p, n in zip(owner, pos, last - first + 1, strict=True):
         if o == 0:
@@ -318,6 +320,11 @@ def test_toxicity(spark):
     assert one.passages and all(any(b in rows[6][1][p.start : p.end] for b in bad) for p in one.passages)
     clean = without_toxic(docs, model)
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {i for i, r in got.items() if not r.predicted}
+    assert model.scale != 1 and model.k > 0
+    again = {r.doc_id: [] for r in got.values()}
+    for r in toxicity(frame(spark, [*rows[:20], *rows[:20]]), model).collect():
+        again[r.doc_id].append(r.score)
+    assert all(again[i] == [got[i].score] * 2 for i, _ in rows[:20])
     none = fit(empty(spark), spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity(docs, none).filter("predicted = 1").count() == 0 and toxicity(empty(spark), model).count() == 0
 
@@ -338,6 +345,25 @@ def test_segments_against_brute_force():
         assert [(a, b) for a, b, _ in segments(scores)] == brute(scores)
 
 
+def test_extreme_values():
+    """Lambda and K of simulated scores: the law's own lambda, and as many chance segments as K n exp(-lambda s) says."""
+    from collections import Counter
+
+    from quire.llm.toxicity import k_of, scale_of, segments
+
+    assert abs(scale_of(Counter({1.0: 250, -1.0: 750})) - math.log(3)) < 1e-3
+    random.seed(21)
+    draw = lambda n: [random.choices((2.0, 1.0, -1.0, -2.0), (1, 2, 4, 3))[0] for _ in range(n)]
+    scale = scale_of(Counter(draw(200_000)))
+    assert abs(0.1 * math.exp(2 * scale) + 0.2 * math.exp(scale) + 0.4 * math.exp(-scale) + 0.3 * math.exp(-2 * scale) - 1) < 0.05
+    best = lambda n: (max((s for _, _, s in segments(draw(n))), default=0.0), n)
+    k = k_of([best(random.randint(50, 400)) for _ in range(1500)], scale)
+    some = [best(200) for _ in range(1500)]
+    for chance in (0.5, 0.2):
+        least = math.log(k * 200 / chance) / scale
+        assert abs(sum(x >= least for x, _ in some) / 1500 - (1 - math.exp(-chance))) < 0.12
+
+
 # --- packing
 
 
@@ -464,7 +490,43 @@ def test_sentencepiece(spark, paths):
     back = {r.doc_id: r.text for r in decoded(encoded(docs, paths[1], ids=True), paths[1]).collect()}
     assert all(back[k] == t.replace("▁", " ") for k, t in enumerate(texts))
     assert encoded(empty(spark), paths[1]).count() == 0
-    assert piece_model(paths[1])._one_by_one("▁hello") == piece_model(paths[1])._joined(["▁hello"])[0]
+
+
+def test_bpe_viterbi(paths):
+    """The pieces that Viterbi picks are those of the joins made one by one, for known, made-up and very repetitive words."""
+    import sentencepiece
+
+    from quire.llm.sentencepieces import LONGEST, piece_model
+
+    model, theirs = piece_model(paths[1]), sentencepiece.SentencePieceProcessor(model_file=paths[1])
+    assert model.exact and model.made.all()
+    random.seed(11)
+    known = [p for p in model.number if len(p) > 1 and not p.startswith("▁▁")]
+    words = ["a" * n for n in range(1, 40)] + ["\0x", "é\nb", "日本語", "🎉"]
+    words += ["".join(random.choice(known) for _ in range(random.randint(1, 5))).replace("▁", "")[:LONGEST] for _ in range(20_000)]
+    words += ["".join(random.choice("etaoinshrdlu'é,-0") for _ in range(random.randint(1, 30))) for _ in range(20_000)]
+    by_length = {}
+    for w in dict.fromkeys("▁" + w for w in words if w):
+        by_length.setdefault(len(w), []).append(w)
+    for group in by_length.values():
+        for w, ids in zip(group, model._followed(group), strict=True):
+            assert ids == model._numbers(w, model._one_by_one(w)), w
+            assert np.frombuffer(ids, "<u4").tolist() == theirs.encode(w[1:]), w
+
+
+def test_words_are_joined_as_the_tokenizer_joins(paths):
+    from tokenizers import Tokenizer
+
+    from quire.llm.packing import word_bpe
+
+    whole, mine = Tokenizer.from_file(paths[0]), word_bpe(paths[0])
+    random.seed(12)
+    known = [t.removesuffix("</w>") for t in whole.get_vocab() if t.isascii()]
+    words = ["".join(random.choice(known) for _ in range(random.randint(1, 6))) for _ in range(20_000)]
+    words += ["".join(random.choice("etaoinshrdluéßñ'’,.-|#0123日") for _ in range(random.randint(1, 25))) for _ in range(20_000)]
+    for at in range(0, len(words), 500):
+        text = " ".join(words[at : at + 500]).replace("<|", "<")
+        assert np.frombuffer(mine.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
 def test_unigram_viterbi_against_brute_force(paths):
@@ -533,6 +595,21 @@ def test_all_slots_are_extracted(spark):
         assert extracted(spark, [(shape % long).format(f"x{k}") for k in range(4)]) == ["\n".join([f"Title x{k}", f"Intro x{k}", *[line.format(f"x{k}")] * 3, f"Cell x{k}"]) for k in range(4)]
 
 
+def test_parts_of_the_article_stay(spark):
+    bodies = ['<header class="banner">Site</header><article><p>a <math><mi>x</mi></math> b</p><h2 class="article-header">Head {0}</h2><div class="banner-image"><p>Shown {0}</p></div><object>Plain {0}</object><div class="post-comments">no</div><div class="share-bar">no</div></article><div class="site-footer">f</div>', '<div class="site-header">Site</div><div class="article-header"><h1>Head {0}</h1></div><div class="story"><p>Body {0}</p></div><div class="alert">no</div>']
+    assert extracted(spark, [b.format(k) for k, b in enumerate(bodies)]) == ["a x b\nHead 0\nShown 0\nPlain 0", "Head 1\nBody 1"]
+    long = "<p>" + "word " * 100_000 + "</p>"
+    assert extracted(spark, [f"<article>{long}</article>", "<article>" + "<div>" * 3000 + "deep"]) == [("word " * 100_000).strip(), "deep"]
+
+
+def test_null_and_repeated_pages(spark):
+    from quire.llm.html_extract import html_extract
+
+    rows = [(None, "http://n.x/", "<p>none</p>"), (None, None, "<p>nowhere</p>"), (7, "http://n.x/", "<p>one</p>"), (7, "http://n.x/", "<p>two</p>")]
+    got = sorted((str(r.page_id), r.text) for r in html_extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == [("7", "one"), ("7", "two"), ("None", "none"), ("None", "nowhere")]
+
+
 def test_pages_of_the_driver(spark, sf):
     """The articles of the made pages, by a plain reading of their markup."""
     import html
