@@ -1,8 +1,8 @@
 """Removal of repeated byte strings by distributed prefix doubling.
 
-Positions get ranks for strings of 1, 2, 4, ... bytes: the rank of a string of 2h bytes is a mix of the ranks of its
-halves, so equal strings have equal ranks in every task, and no table of ranks is needed (naming after Karp, Miller
-and Rosenberg). (Rank, position) pairs are dealt out by rank over the tasks and sorted there, at growing lengths; after each
+Positions get ranks for strings of 8, 16, 32 and 64 bytes: eight bytes are a number, and the rank of a string of 2h bytes
+is a mix of the ranks of its halves, so equal strings have equal ranks in every task, and no table of ranks is needed
+(naming after Karp, Miller and Rosenberg). (Rank, position) pairs are dealt out by rank over the tasks and sorted there, at growing lengths; after each
 sort, positions whose rank is unique are done, and the others go on to the next length, until the threshold.
 
 - 32 bytes: one position stands for all windows of the threshold's length that have it as their least rank. Equal
@@ -34,17 +34,16 @@ from quire.llm.common import discard, partitions, small_batches, written
 LENGTH, GRAM, EIGHT = 100, 32, 8
 WINDOW = LENGTH - GRAM + 1
 HALF = 64
-#: Bytes of a long text that are treated at once, and bytes of texts.
-SLICE, AT_ONCE = 1 << 21, 1 << 21
+#: Bytes of a long text that are treated at once, and bytes of texts; ranks of so many stay in a core's cache.
+SLICE, AT_ONCE = 1 << 17, 1 << 17
 #: Pairs that a task gathers before it sends them.
 GATHERED = 1 << 20
-#: Documents in a block, and documents whose pairs make a part of the ranks, at least.
-BLOCK, PART = 256, 500
+#: Documents in a block and their bytes, on the mean at most, and documents whose pairs make a part of the ranks, at least.
+BLOCK, BLOCK_BYTES, PART = 256, 1 << 20, 500
 
 U = np.uint64
-TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 A, B, C, D = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93)
-PLACE = U((1 << 28) - 1)
+PLACE = U((1 << 31) - 1)
 
 CANDIDATE, WITNESS, REPEATED, SETTLED = range(4)
 MESSAGE = "bucket int, kind int, rows int, block binary"
@@ -54,8 +53,8 @@ PAIR = np.dtype([("core", "<u8"), ("one", "<u8"), ("two", "<u8"), ("doc", "<i8")
 DONE = np.dtype([("doc", "<i8"), ("row", "<i8"), ("pos", "<u4"), ("n", "<u4"), ("block", "<u4")])
 SHORT = np.dtype([("core", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("block", "<u4")])
 NO_ID = -(1 << 63)
-#: Bits of the map of documents that a step is about (4 MB), whatever their number.
-BITS = 1 << 25
+#: Bits of the map of documents that a step is about: eight a document, but within these bounds (0.5 and 32 MB). A map that is too full lets documents through that the step has nothing for.
+FEWEST_BITS, MOST_BITS = 1 << 22, 1 << 28
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -70,12 +69,20 @@ def doubled(rank: np.ndarray, h: int) -> np.ndarray:
     return mixed(rank[:-h] * A + rank[h:] * B) if len(rank) > h else rank[:0]
 
 
-def ranked(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of 32 and of 64 bytes at each position."""
-    rank, h = TABLE[data], 1
-    while h < GRAM:
-        rank, h = doubled(rank, h), 2 * h
-    return rank, doubled(rank, h)
+def ranked(data: np.ndarray, upto: int = HALF) -> list[np.ndarray]:
+    """Ranks of 8, 16, ... and ``upto`` bytes at each position."""
+    n = len(data) - 7
+    if n <= 0:
+        return [np.zeros(0, U)] * (upto.bit_length() - 3)
+    ranks, h = [mixed(np.ndarray(n, "<u8", data, strides=(1,)) * D)], 8
+    while h < upto:
+        ranks.append(doubled(ranks[-1], h))
+        h *= 2
+    return ranks
+
+
+def ranks_of_gram(data: np.ndarray) -> np.ndarray:
+    return ranked(data, GRAM)[-1]
 
 
 def named(rank: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,11 +131,13 @@ class Texts:
         rest = WINDOW - width
         least = np.minimum(least[: len(least) - rest], least[rest:])[:n]
         chosen = (least & PLACE).astype(np.int64)
-        whole = np.zeros(n, bool)  # windows within one text
-        for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True):
-            whole[a : max(a, b - LENGTH + 1)] = True
+        edge = np.zeros(n + 1, np.int8)  # windows within one text
+        some = self.ends - self.starts >= LENGTH
+        edge[self.starts[some]] += 1
+        edge[self.ends[some] - LENGTH + 1] -= 1
+        whole = np.cumsum(edge[:n], dtype=np.int8).astype(bool)
         new = np.r_[True, (chosen[1:] != chosen[:-1]) | (whole[1:] != whole[:-1])]
-        new[np.intersect1d(self.starts, np.arange(n), assume_unique=False)] = True
+        new[self.starts[self.starts < n]] = True
         first = np.flatnonzero(new)
         last = np.r_[first[1:] - 1, n - 1]
         keep = whole[first]
@@ -173,24 +182,24 @@ def done(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _marks(ids: np.ndarray) -> np.ndarray:
-    """Where documents are in a map of bits."""
-    return (mixed(ids.astype(np.int64).view(np.uint64) * A) % U(BITS)).astype(np.int64)
+def _marks(ids: np.ndarray, size: int) -> np.ndarray:
+    """Where documents are in a map of so many bits, a power of two."""
+    return (mixed(ids.astype(np.int64).view(np.uint64) * A) & U(size - 1)).astype(np.int64)
 
 
-def marked(found: DataFrame, kind: np.dtype) -> np.ndarray:
-    """The map of the documents in messages, of fixed size: maps of tasks, in parts of 4 kB, joined by a bitwise or."""
+def marked(found: DataFrame, kind: np.dtype, size: int) -> np.ndarray:
+    """The map of the documents in messages: maps of tasks, in parts of 4 kB, joined by a bitwise or."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BITS, bool)
+        bits = np.zeros(size, bool)
         for batch in batches:
-            bits[_marks(unpacked(batch.column(3).to_pylist(), kind)["doc"])] = True
+            bits[_marks(unpacked(batch.column(3).to_pylist(), kind)["doc"], size)] = True
         parts = np.packbits(bits, bitorder="little").reshape(-1, 4096)
         some = np.flatnonzero(parts.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([parts[k].tobytes() for k in some], pa.binary())], ["part", "bits"])
 
-    out = np.zeros((BITS // 8 // 4096, 4096), np.uint8)
-    for r in found.mapInArrow(run, "part long, bits binary").groupBy("part").agg(F.bitmap_or_agg("bits").alias("bits")).collect():  # 1024 rows at most
+    out = np.zeros((size // 8 // 4096, 4096), np.uint8)
+    for r in found.mapInArrow(run, "part long, bits binary").groupBy("part").agg(F.bitmap_or_agg("bits").alias("bits")).collect():  # the map, 32 MB at most
         out[r.part] = np.frombuffer(r.bits, np.uint8)
     return out.reshape(-1)
 
@@ -311,7 +320,7 @@ def _runs(block: Block, blocks: list[bytes]) -> Iterator[np.ndarray]:
     """Runs of the chosen positions that are repeated."""
     chosen = unpacked(blocks, SHORT)
     for documents, text in block.chunks(np.flatnonzero(np.isin(block.ids, chosen["doc"]))):
-        rank, rank64 = ranked(text.data)
+        *_, rank, rank64 = ranked(text.data)
         first, last, at = text.runs(rank)
         part = np.searchsorted(text.starts, first, "right") - 1  # the position may lie beyond its slice's windows
         owner, pos = text.owner[part], at - text.starts[part] + text.base[part]
@@ -338,7 +347,7 @@ def _rows_at(block: Block, blocks: list[bytes]) -> Iterator[tuple[np.ndarray, Te
     for documents, text in block.chunks(np.unique(document)):
         mine = np.isin(document, documents)
         here = rows[mine]
-        yield documents, text, ranked(text.data)[1], here, text.at(np.searchsorted(documents, document[mine]), here["pos"].astype(np.int64))
+        yield documents, text, ranked(text.data)[-1], here, text.at(np.searchsorted(documents, document[mine]), here["pos"].astype(np.int64))
 
 
 def _eights(block: Block, blocks: list[bytes]) -> Iterator[np.ndarray]:
@@ -433,24 +442,30 @@ def _whole(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
+def rest_name(k: int) -> str:
+    """The name within ``rest`` of the k-th column of ``docs`` that is neither doc_id nor text."""
+    return f"c{k}"
+
+
 def suffix_dedup(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), a row for each row of ``docs``, which needs doc_id and text; ``with_kept`` also kept and rest.
 
     A byte of the text in UTF-8 is removed if a string of LENGTH bytes that covers it also starts earlier: in a text
     with a smaller doc_id, or earlier in the same text. Strings may overlap, are judged on the input, and never cross
-    texts. ``kept`` is what is left, whole characters only, and ``rest`` the row's other columns. Null texts are empty. Of rows
+    texts. ``kept`` is what is left, whole characters only, and ``rest`` the row's other columns, named by :func:`rest_name`. Null texts are empty. Of rows
     with one doc_id the smaller text counts as earlier, and rows without a doc_id come before all others, in a fixed
     order. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    n = docs.count()
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = max(1, min(4 * partitions(spark), n // PART))
-    blocks = max(1, -(-n // BLOCK))
+    blocks = max(1, -(-n // BLOCK), -(-size // BLOCK_BYTES))
+    map_bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (8 * n).bit_length()))
     bucket = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), "text"), F.lit(""))), F.lit(blocks)).cast("int")
     rows = docs.select(bucket.alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    whole = docs.select(bucket.alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*others, F.lit(None).cast("int").alias("_")).alias("rest")) if with_kept else rows
+    whole = docs.select(bucket.alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*(F.col(f"`{c}`").alias(rest_name(k)) for k, c in enumerate(others)), F.lit(None).cast("int").alias("none")).alias("rest")) if with_kept else rows
 
     def some(df: DataFrame, bits, rest: bool, wanted: bool = True) -> DataFrame:
         """The documents that the map has (or those that it has not), their texts packed, so that a shuffle moves little."""
@@ -458,7 +473,7 @@ def suffix_dedup(docs: DataFrame, with_kept: bool = False) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             zip_ = zstandard.ZstdCompressor(level=1).compress
             for batch in batches:
-                at = _marks(np.array([NO_ID if i is None else i for i in batch.column(1).to_pylist()], np.int64))
+                at = _marks(np.array([NO_ID if i is None else i for i in batch.column(1).to_pylist()], np.int64), map_bits)
                 part = batch.filter(pa.array(((bits.value[at >> 3] >> (at & 7)) & 1 == 1) == wanted))
                 texts = pa.array([zip_(t) for t in part.column(2).cast(pa.binary()).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts, *part.columns[3:]], part.schema.names)
@@ -479,7 +494,7 @@ def suffix_dedup(docs: DataFrame, with_kept: bool = False) -> DataFrame:
                     size += len(texts[upto])
                     upto += 1
                 text = Texts(texts[at:upto])
-                rank = ranked(text.data)[0]
+                rank = ranks_of_gram(text.data)
                 first, _, place = text.runs(rank)
                 part = np.searchsorted(text.starts, first, "right") - 1
                 owner = text.owner[part] + at
@@ -495,7 +510,7 @@ def suffix_dedup(docs: DataFrame, with_kept: bool = False) -> DataFrame:
             yield messages(sifted(np.concatenate(gathered), parts))
 
     def about(found: DataFrame, kind: np.dtype):
-        return spark.sparkContext.broadcast(marked(found, kind))
+        return spark.sparkContext.broadcast(marked(found, kind, map_bits))
 
     grams = written(rows.mapInArrow(chosen, MESSAGE).repartition("bucket").mapInArrow(meet_by_core(SHORT), MESSAGE), "grams")
     level, kind, settled = grams.filter(F.col("kind") == REPEATED), SHORT, []
