@@ -79,9 +79,9 @@ class Spark:
     def bytes(self, t: str) -> str:
         return f"octet_length({t})"
 
-    def let(self, value: str, f: Callable[[str], str]) -> str:
+    def let(self, value: str, f: Callable[[str], str], name: str = "it") -> str:
         """A value that is named, and so worked out once, however often it is used."""
-        return f"get(transform(array({value}), it -> {f('it')}), 0)"
+        return f"get(transform(array({value}), {name} -> {f(name)}), 0)"
 
 
 class Duck(Spark):
@@ -134,8 +134,8 @@ class Duck(Spark):
     def bytes(self, t: str) -> str:
         return f"octet_length(encode({t}))"
 
-    def let(self, value: str, f: Callable[[str], str]) -> str:
-        return f"(list_transform([{value}], lambda it: {f('it')}))[1]"
+    def let(self, value: str, f: Callable[[str], str], name: str = "it") -> str:
+        return f"(list_transform([{value}], lambda {name}: {f(name)}))[1]"
 
 
 SPARK, DUCK = Spark(), Duck()

@@ -34,6 +34,28 @@ LINES = [
     "a caption that will not come to its end before it has named every kind of bread that was ever baked along that long coast, yes", "[q] \"r\" s", "Harbour (old)#2?", "\u00a0hard\u2009thin\u202fspace", "no\u200bjoin\ufeff", "fla\u00adky", "ring\u0007ring\ttab", "\ufffd\ue001", "b\ufffd",
     # Japanese and mixed
     "音 楽 と 船", "音楽, 船. 港", "これは文であり、点がある。", "漢字仮名混在長文句読点無", "パン and butter in English", "B号船とその帆", "1923年の航海", "C3船", "Δεζ = y", "p ≥ q", "Our our our boat", "Row Row Row boat", "row row row", "2 2 2",
+    # formulas, versions, addresses here
+    "p + q = r (4)", "∑ w = 1", "(5a)", "(2.3)", "x ≤ 4", "y = mx + b and more text that goes on without a number", "v3.4.2", "0.12", "5.0.1-beta", "2.x", "V1.0", "http://localhost:8080/x", "127.0.0.1/y", "https://localhost.example/", "The Second Harbour", "of oars and", "loaves (and", "see also rye;", "QWERTY+Caslon-Bold", "my file: one/two.txt",
     # reference-like and fonts
     "Writer Y (1998) Song. Annals 7(1):9–21", "(1998a) chord: 2-3", "21 43 65 87", "1 x 2 y 3 z", "1/8 of 2 - 3 + 4", "CMSY7", "XITSMath-Bold", "Lato-Regular", "Caslon-Semibold", "Ov.B", "Optima-BoldOblique", "Gill,bd", "Bembo-It", "Zz.bi", "港町", "row-", "long-keeled boat", "Ann's oar", "D'Angelo", "un-\u00adtuned", "crème brûlée", "Übermut und Öl",
 ]
+
+#: Versions of programs.
+VERSIONS = ["v1.4.2", "1.4.10", "0.9", "2.0.0-rc1", "2.0", "nightly", "1.4"]
+#: (font, glyph) as page sources name them.
+GLYPHS = [("QWERTY+Caslon", "g1"), ("Optima", "g1"), ("Optima", "equals"), ("Bembo", "radical.alt"), ("Bembo", "uni20AC"), ("Bembo", "u1D11E"), ("Bembo", "uE100"), ("Bembo", "uni0007"), ("Bembo", "loaf")]
+#: (file_id, title, author, year) of files that match no record.
+TITLES = [(1, "supplement", "T", 1991), (2, "chapter", "A", 1992), (3, "plates", "O", 1993), (4, "undated", "T", None), (5, "others", "E", 1994), (6, "more", "T", 1990), (7, "notes", "O", 1990), (8, "errata", "S", 1991), (9, "index", "D", 1992)]
+#: (doc_id, node_ix, kind, level, text): formulas and their numbers.
+NODES = [(1, 0, "paragraph", 0, "We sail by"), (1, 1, "formula", 0, "v = s / t"), (1, 2, "paragraph", 0, "(1)"), (1, 3, "formula", 0, "e = h"), (1, 4, "page", 0, ""), (1, 5, "item", 0, " (2a) "), (1, 6, "item", 0, "(3)"), (1, 7, "paragraph", 0, "(see 4)"), (2, 0, "item", 0, "(1)"), (2, 1, "formula", 0, "x"), (2, 2, "formula", 0, "y"), (2, 3, "paragraph", 0, "(7.1)")]
+#: (doc_id, node_ix, text): headings, some of which lost their numeral.
+HEADINGS = [(1, 0, "I．帆"), (1, 3, "．船体"), (1, 5, ".  港と町"), (1, 8, "IV．結び"), (1, 9, ".not this"), (1, 11, "．補い"), (2, 0, "I．パン"), (2, 1, "．粉"), (3, 0, "．はじめ"), (3, 1, "II．音"), (3, 2, "III．弦"), (3, 4, "．弓")]
+
+#: A document with a list of references, and one with a table.
+REFERENCES = ["Bread is old.", "References", "Barrow, G., 1996. On ovens and their heat.", "Quarterly of Bread 7, 101-118.", "Duarte, I., Berg, O., 2003. Masts of pine. Sails 12, 4-19.", "Lindt, K., 1988. On rye. Harbour Press, Riga.", "Marsh, P.Q., Reyes, D., 2011. Tuning by ear and by", "hand. Annals of Music 3, 55-71.", "[5] Novak, C., 2016. The fifth loaf. Crusts 1, 1-2.", "Appendix A", "After the list."]
+TABLE = ["loaf | flour | hours", "rye | 500 | 12", "wheat | 450 | 3", "spelt | 480", "A line without bars"]
+#: (doc_id, page, line_ix, x0, y0, x1, y1, size, text): a large initial, a section number apart from its title, a formula in two pieces, and a margin of line numbers.
+PLACED = [(-4, 0, 0, 50.0, 40.0, 70.0, 70.0, 30.0, "B"), (-4, 0, 1, 72.0, 40.0, 250.0, 50.0, 10.0, "read rises slowly in the cold"), (-4, 0, 2, 72.0, 55.0, 250.0, 65.0, 10.0, "of the morning and is baked"), (-4, 0, 3, 50.0, 100.0, 65.0, 110.0, 10.0, "4.2"), (-4, 0, 4, 75.0, 100.0, 160.0, 110.0, 10.0, "Ovens and fires"), (-4, 0, 5, 50.0, 150.0, 200.0, 160.0, 10.0, "p + q ="), (-4, 0, 6, 50.0, 162.0, 200.0, 172.0, 10.0, "r + s (4)"), (-4, 0, 7, 50.0, 200.0, 200.0, 210.0, 10.0, "and the rest of it follows"), (-4, 0, 90, 50.0, 5.0, 150.0, 15.0, 8.0, "Annals of Bread 7"), (-4, 1, 90, 50.0, 5.0, 150.0, 15.0, 8.0, "Annals of Bread 8")]
+PLACED += [(-4, 1, 10 + k, 10.0, 40.0 + 20 * k, 25.0, 50.0 + 20 * k, 8.0, str(5 * k + 5)) for k in range(10)] + [(-4, 1, 30 + k, 50.0, 40.0 + 20 * k, 290.0, 50.0 + 20 * k, 10.0, f"line of a manuscript that has the number {5 * k + 5}") for k in range(10)]
+#: (doc_id, page, line_ix, char_ix, c, x0, y0, x1, y1, size): a raised and a lowered number.
+CHARACTERS = [(-5, 0, 0, k, c, 10.0 + 6 * k, y, 16.0 + 6 * k, y + h, h) for k, (c, y, h) in enumerate([("k", 20.0, 10.0), ("m", 20.0, 10.0), ("2", 18.0, 6.0), (" ", 20.0, 10.0), ("H", 20.0, 10.0), ("2", 26.0, 6.0), ("O", 20.0, 10.0)])]

@@ -10,6 +10,7 @@ from quire.functions.dialect import CJK, WS, Spark, alternatives
 # --- fixed values: word lists that results depend on -----------------------------------------------------------------
 FUNCTION_WORDS = "the of and in to a is are was were for on with by as at from that this be or an which we it its not has have der die und das le la les et des el los".split()
 OPEN_WORDS = "and or of the a an to in with for by from that which on at than as is are was were be its their nor".split()
+WANTING_WORDS = "and or of the a an to in with for by from on at than as is are its their & vs.".split()
 FRONT_HEADINGS = ["abstract", "summary", "keypoints", "keywords", "highlights", "plainlanguagesummary", "introduction", "articleinfo", "要旨", "概要", "要約", "はじめに", "序論", "緒言"]
 CLOSING_HEADINGS = ["acknowledgements", "acknowledgments", "acknowledgement", "acknowledgment", "appendix", "conclusions", "conclusion", "謝辞", "付録", "おわりに", "まとめ", "結論", "結語", "あとがき"]
 REFERENCE_HEADINGS = ["references", "reference", "bibliography", "literature cited", "references cited", "cited literature", "works cited", "参考文献", "引用文献", "文献", "references and notes"]
@@ -240,7 +241,8 @@ def prose_like(q: Spark, t: str) -> str:
     """Japanese with its punctuation, or four words and more of which an eighth are function words."""
     bare = q.where(q.each(words(q, t), lambda x: f"lower({q.replace(x, r'^[^\p{L}]+|[^\p{L}]+$')})"), lambda x: f"{x} <> ''")
     japanese = f"{q.count(t, f'[{CJK}]')} >= 10"
-    return f"(CASE WHEN {japanese} THEN {q.has(t, '[。、，．]')} ELSE {q.size(bare)} >= 4 AND {q.size(q.where(bare, lambda x: one_of(q, x, FUNCTION_WORDS)))} * 8 >= {q.size(bare)} END)"
+    english = q.let(bare, lambda b: f"({q.size(b)} >= 4 AND {q.size(q.where(b, lambda x: one_of(q, x, FUNCTION_WORDS)))} * 8 >= {q.size(b)})")
+    return f"(CASE WHEN {japanese} THEN {q.has(t, '[。、，．]')} ELSE {english} END)"
 
 
 def caption_kind(q: Spark, t: str) -> str:
@@ -318,9 +320,9 @@ def is_byline(q: Spark, t: str) -> str:
     """Names of one to six capitalised words, at least two of them, set apart by commas, marks or "and"."""
     groups = q.where(q.each(q.all(q.replace(t, r" and | und | et ", "|"), r"[^|,;·•&*＊∗⁎†‡§¶#()0-9]+"), lambda x: trimmed(q, x)), lambda x: q.has(x, r"\p{L}"))
     name = rf"^(?:(?:\p{{Lu}}[\p{{L}}.\x27’-]*|de|da|di|del|della|van|von|der|den|la|le|du|dos|das|y|e|bin|ter|\p{{Ll}})[{WS}]*){{1,6}}$"
-    good = q.size(q.where(groups, lambda x: q.has(x, name)))
-    single = f"({q.size(groups)} = 1 AND {good} = 1 AND {q.count(t, rf'[^{WS}]*\p{{L}}[^{WS}]*')} BETWEEN 2 AND 4)"
-    return f"(length({t}) <= 600 AND NOT {is_front_heading(q, t)} AND ({single} OR ({q.size(groups)} >= 2 AND {good} * 10 >= {q.size(groups)} * 9)))"
+    few = f"{q.count(t, rf'[^{WS}]*\p{{L}}[^{WS}]*')} BETWEEN 2 AND 4"
+    named = q.let(groups, lambda g: q.let(q.size(q.where(g, lambda x: q.has(x, name))), lambda good: f"(({q.size(g)} = 1 AND {good} = 1 AND {few}) OR ({q.size(g)} >= 2 AND {good} * 10 >= {q.size(g)} * 9))", "good"))
+    return f"(CASE WHEN length({t}) > 600 OR NOT {q.has(t, r'\p{Lu}')} OR {is_front_heading(q, t)} THEN false ELSE {named} END)"
 
 
 def is_strong_byline(q: Spark, t: str) -> str:
@@ -593,11 +595,103 @@ def tokens(q: Spark, t: str) -> str:
     return q.all(f"lower({t})", r"[\p{L}\p{N}]+")
 
 
+# 2.3, more predicates
+
+
+def has_kanji(q: Spark, t: str) -> str:
+    return q.has(t, r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}]")
+
+
+def has_hiragana(q: Spark, t: str) -> str:
+    return q.has(t, r"[\x{3041}-\x{3096}]")
+
+
+def has_katakana(q: Spark, t: str) -> str:
+    return q.has(t, r"[\x{30A1}-\x{30FA}\x{30FC}]")
+
+
+def wants_more(q: Spark, t: str) -> str:
+    """A row of contents or of an index that goes on in the next."""
+    s = right_trimmed(q, t)
+    return f"({q.has(s, r'[,;(–—/-]$')} OR {q.count(s, r'\(')} > {q.count(s, r'\)')} OR {one_of(q, f'lower({q.first(s, f"[^{WS}]*$")})', WANTING_WORDS)})"
+
+
+def opens_entry(q: Spark, t: str) -> str:
+    """The first letter is no small one, so that an entry may start here; styles aside."""
+    return f"({q.has(t, f'[^{WS}]')} AND NOT {q.has(t, rf'^[{WS}]*\p{{Ll}}')})"
+
+
+def math_permille(q: Spark, t: str) -> str:
+    """Mathematical characters of a thousand that are not white space; bullets don't count."""
+    bare = unspaced(q, t)
+    return q.let(bare, lambda b: f"(CASE WHEN length({b}) > 0 THEN cast(floor({q.count(b, f'[{MATH_CHARS}]')} * 1000 / length({b})) AS bigint) END)")
+
+
+def is_equation_line(q: Spark, t: str) -> str:
+    """An equation with its number, on a line of its own."""
+    s = trimmed(q, t)
+    before = trimmed(q, q.first(s, r"^(.*)\([^(]*$", 1))
+    mathy = f"(contains({s}, '=') OR {q.count(s, f'[{MATH_CHARS}]')} * 5 >= length({s}))"
+    return f"({has_equation_number(q, s)} AND length({before}) >= 3 AND length({s}) < 90 AND {mathy})"
+
+
+def is_mathish(q: Spark, t: str) -> str:
+    """A piece of a displayed formula: a fifth mathematical, or a few characters one of which is, or a short text with an equation number."""
+    s = trimmed(q, t)
+    tiny = f"(length({s}) <= 4 AND {q.has(s, f'[{MATH_CHARS}()]')})"
+    share = f"({q.count(unspaced(q, t), f'[{MATH_CHARS}]')} * 5 >= length({unspaced(q, t)}) AND length({unspaced(q, t)}) > 0)"
+    return f"({share} OR {tiny} OR ({has_equation_number(q, t)} AND length({t}) < 80))"
+
+
+def title_like(q: Spark, t: str) -> str:
+    """What an emphasised run must look like to be a heading that a paragraph swallowed."""
+    s = trimmed(q, t)
+    return f"(length({s}) BETWEEN 4 AND 110 AND NOT {q.has(s, '[.。．,;:，]$')} AND {q.size(words(q, s))} >= 2 AND {caption_kind(q, s)} IS NULL)"
+
+
+def bare_number(q: Spark, t: str) -> str:
+    """A number of at most four digits and nothing else: a page's, a line's."""
+    return q.has(t, rf"^[{WS}]*[0-9]{{1,4}}[{WS}]*$")
+
+
+def own_equation_number(q: Spark, t: str) -> str:
+    """The number in brackets that is all of a text, or null."""
+    found = q.first(trimmed(q, t), r"^\(([0-9][0-9A-Za-z.]{0,4})\)$", 1)
+    return f"(CASE WHEN {found} <> '' THEN {found} END)"
+
+
+def local_address(q: Spark, t: str) -> str:
+    """An address on this machine: what is sent there stays."""
+    return q.has(t, r"^(?:[^:]*://)?(?:localhost|127\.0\.0\.1)(?:[/:]|$)")
+
+
+def version_key(q: Spark, t: str) -> str:
+    """A version's three numbers as one that compares like them, or null; what is no number after the second counts as 0."""
+    pattern = rf"^[{WS}]*[vV]*([0-9]{{1,5}})[.+-]([0-9]{{1,5}})(?:[.+-]([0-9]{{1,5}}))?(?:[.+-]|[{WS}]*$|[.+-].*$)"
+    part = lambda k: f"coalesce({q.big(q.first(t, pattern, k))}, 0)"
+    return f"(CASE WHEN {q.has(t, pattern)} THEN {part(1)} * 10000000000 + {part(2)} * 100000 + {part(3)} END)"
+
+
+def font_family(q: Spark, t: str) -> str:
+    """A font's family in small letters: without the mark of a subset."""
+    return f"lower({q.replace(t, r'^[A-Z]{6}\+', '')})"
+
+
+def slug(q: Spark, t: str) -> str:
+    """A name for a file: letters, digits, hyphens and stops; all else an underscore."""
+    return q.replace(t, "[^A-Za-z0-9.-]", "_")
+
+
+def half_ems(q: Spark, t: str) -> str:
+    """A text's advance in half ems: wide characters take two."""
+    return f"(length({t}) + {q.count(t, r'[\x{2E80}-\x{10FFFF}]')})"
+
+
 #: Rules that clean a text: a new text for each.
-CLEANERS = {f.__name__: f for f in (trim_line_spaces, drop_control, drop_zero_width, plain_spaces, drop_soft_hyphens, japanese_stops, drop_cjk_spaces, collapse_letterspacing, web_uri, unspace_address, esc_html, esc_md, guard_line, strip_marker, image_link, alt_text, digits_key, compact_text)}
+CLEANERS = {f.__name__: f for f in (trim_line_spaces, drop_control, drop_zero_width, plain_spaces, drop_soft_hyphens, japanese_stops, drop_cjk_spaces, collapse_letterspacing, web_uri, unspace_address, esc_html, esc_md, guard_line, strip_marker, image_link, alt_text, digits_key, compact_text, font_family, slug)}
 #: Rules that say yes or no.
-PREDICATES = {f.__name__: f for f in (is_junk, letter_spaced, url_continues, is_cjk, is_math_char, is_math_font, font_bold, font_italic, prose_like, japanese_title, is_front_heading, is_closing_heading, is_references_heading, is_refs_heading, is_references, section_word, caps_heading, is_byline, is_strong_byline, note_opening, dates_line, has_year, dated_note, is_boilerplate, is_kicker, repetitive, panel_labels, is_list_marker, has_equation_number, ends_sentence, open_end, starts_low, starts_weakly, marker_only, author_start, cjk_year, cjk_bib, initials_first, full_name, heading_word, looks_numeric, latin_text, mostly_symbols, looks_like_reference, is_japanese, translatable, num_ratio_high, tripled_word, needs_guard)}
+PREDICATES = {f.__name__: f for f in (is_junk, letter_spaced, url_continues, is_cjk, is_math_char, is_math_font, font_bold, font_italic, prose_like, japanese_title, is_front_heading, is_closing_heading, is_references_heading, is_refs_heading, is_references, section_word, caps_heading, is_byline, is_strong_byline, note_opening, dates_line, has_year, dated_note, is_boilerplate, is_kicker, repetitive, panel_labels, is_list_marker, has_equation_number, ends_sentence, open_end, starts_low, starts_weakly, marker_only, author_start, cjk_year, cjk_bib, initials_first, full_name, heading_word, looks_numeric, latin_text, mostly_symbols, looks_like_reference, is_japanese, translatable, num_ratio_high, tripled_word, needs_guard, has_kanji, has_hiragana, has_katakana, wants_more, opens_entry, is_equation_line, is_mathish, title_like, bare_number, local_address)}
 #: Rules over single words.
 WORD_PREDICATES = {f.__name__: f for f in (surname, initials, bare_initials, roman, page_token, garbled)}
 #: Rules that give a value or null.
-VALUES = {f.__name__: f for f in (caption_kind, numbered_heading_depth, heading_number, list_number, item_number, marker, find_year, lead, entry_end, trailing_pages, first_page)}
+VALUES = {f.__name__: f for f in (caption_kind, numbered_heading_depth, heading_number, list_number, item_number, marker, find_year, lead, entry_end, trailing_pages, first_page, math_permille, own_equation_number, version_key, half_ems)}

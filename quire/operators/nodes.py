@@ -167,7 +167,7 @@ def titles(nodes: DataFrame) -> DataFrame:
 
 def table_cells(rows: Column) -> Column:
     """Cells of tab-separated rows if seven in ten agree on the upper median of 2 to 12 columns, else null; surplus goes into the last cell, short rows are padded."""
-    cells = F.transform(rows, lambda r: F.transform(F.split(F.regexp_replace(r, "­", ""), "\t"), F.trim))
+    cells = F.transform(rows, lambda r: F.transform(F.split(F.regexp_replace(r, "­", ""), "\t"), lambda c: F.trim(c)))  # a bare F.trim would be given the index, too
     counts = F.array_sort(F.transform(cells, F.size))
     cols = F.get(counts, F.floor(F.size(counts) / 2).cast("int"))
     agree = F.size(F.filter(cells, lambda c: F.size(c) == cols)) * 10 >= F.size(cells) * 7

@@ -13,6 +13,7 @@ from quire.functions import text as rules
 from quire.functions import unicode as uni
 from quire.functions.dialect import DUCK, column
 from quire.operators import aggregates, engines, geometry, nodes, references, sequence, similarity
+from quire.functions.fixture import PLACED
 from quire.plans.rules import LINES_SQL, lines
 
 QUERIES: dict = {}
@@ -38,12 +39,14 @@ def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, col = F.col("line_ix") % 40, F.col("line_ix") % 2
     x0 = F.lit(50.0) + 260 * col
     y0 = F.lit(40.0) + 15 * F.floor(n / 2)
-    return lines(spark, sf_dir).filter("trim(line) != ''").select("doc_id", F.floor(F.col("line_ix") / 40).cast("int").alias("page"), "line_ix", x0.alias("x0"), y0.cast("double").alias("y0"), (x0 + 5 * F.least(F.length("line"), F.lit(48))).alias("x1"), (y0 + 10).cast("double").alias("y1"), F.when(F.length("line") < 40, 14.0).otherwise(10.0).alias("size"), F.col("line").alias("text"))
+    placed = spark.createDataFrame(PLACED, "doc_id long, page int, line_ix int, x0 double, y0 double, x1 double, y1 double, size double, text string")
+    rows = lines(spark, sf_dir).filter("trim(line) != ''").select("doc_id", F.floor(F.col("line_ix") / 40).cast("int").alias("page"), "line_ix", x0.alias("x0"), y0.cast("double").alias("y0"), (x0 + 5 * F.least(F.length("line"), F.lit(48))).alias("x1"), (y0 + 10).cast("double").alias("y1"), F.when(F.length("line") < 40, 14.0).otherwise(10.0).alias("size"), F.col("line").alias("text"))
+    return rows.unionByName(placed)
 
 
 LAYOUT = f"""(SELECT doc_id, cast(line_ix // 40 AS INT) AS page, line_ix, 50.0 + 260 * (line_ix % 2) AS x0, cast(40 + 15 * ((line_ix % 40) // 2) AS DOUBLE) AS y0,
  50.0 + 260 * (line_ix % 2) + 5 * least(length(line), 48) AS x1, cast(50 + 15 * ((line_ix % 40) // 2) AS DOUBLE) AS y1, CASE WHEN length(line) < 40 THEN 14.0 ELSE 10.0 END AS size, line AS text
- FROM ({LINES_SQL}) WHERE trim(line) <> '')"""
+ FROM ({LINES_SQL}) WHERE trim(line) <> '' UNION ALL SELECT * FROM (VALUES {", ".join(map(str, PLACED))}))"""
 L = f"({LINES_SQL})"
 
 
@@ -212,16 +215,28 @@ def batch_pack(spark, sf_dir):
     return sequence.pack_batches(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", first=300, later=900)
 
 
-@query("""WITH w AS (SELECT lower(x) AS w FROM (SELECT unnest(regexp_extract_all(text, '[a-z]{3,}')) AS x FROM documents) GROUP BY lower(x)),
- p AS (SELECT DISTINCT substr(w, 1, length(w) // 2) AS a, substr(w, length(w) // 2 + 1) AS b FROM w WHERE length(w) >= 6),
- f AS (SELECT a, b, lower(a) AS la, lower(b) AS lb FROM p),
- g AS (SELECT *, (la || '-' || lb) IN (SELECT w FROM w) AS compound, len(list_filter([la || lb, la || lb || 's', la || lb || 'es', la || lb || 'ed', la || lb || 'd', la || lb || 'ing'], lambda x: x IN (SELECT w FROM w))) > 0 AS whole FROM f)
- SELECT a, b, false AS keep FROM f""")
+FORMS = lambda x: f"[{x}, {x} || 's', {x} || 'es', {x} || 'ed', {x} || 'd', {x} || 'ing'] || CASE WHEN {x} LIKE '%s' AND length({x}) >= 4 THEN [left({x}, -1)] ELSE [] END || CASE WHEN {x} LIKE '%es' AND length({x}) >= 5 THEN [left({x}, -2)] ELSE [] END"
+
+
+@query(f"""WITH w AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+(?:-[a-z]+)?')) AS w FROM documents)),
+ k AS (SELECT * FROM w WHERE length(w) % 3 <> 0 OR contains(w, '-')),
+ p AS (SELECT substr(w, 1, length(w) // 2) AS a, substr(w, length(w) // 2 + 1) AS b FROM w WHERE length(w) BETWEEN 6 AND 12 AND NOT contains(w, '-') UNION SELECT split_part(w, '-', 1), split_part(w, '-', 2) FROM w WHERE contains(w, '-')
+  UNION SELECT upper(left(w, 2)), w FROM w WHERE length(w) = 5 UNION SELECT a.w, b.w FROM (SELECT w FROM w ORDER BY w LIMIT 40) a JOIN (SELECT w FROM w ORDER BY w DESC LIMIT 40) b ON true),
+ f AS (SELECT p.*, lower(a) AS la, lower(b) AS lb FROM p),
+ c AS (SELECT a, b, 1 AS what FROM f JOIN k ON k.w = la || '-' || lb UNION SELECT a, b, 2 FROM (SELECT a, b, unnest({FORMS("(la || lb)")}) AS x FROM f) JOIN k ON k.w = x UNION SELECT a, b, 3 FROM (SELECT a, b, unnest({FORMS("la")}) AS x FROM f) JOIN k ON k.w = x UNION SELECT a, b, 4 FROM (SELECT a, b, unnest({FORMS("lb")}) AS x FROM f) JOIN k ON k.w = x),
+ g AS (SELECT f.*, bool_or(what = 1) AS c1, bool_or(what = 2) AS c2, bool_or(what = 3) AS c3, bool_or(what = 4) AS c4 FROM f LEFT JOIN c USING (a, b) GROUP BY ALL)
+ SELECT a, b, CASE WHEN a = '' OR b = '' THEN false WHEN coalesce(c1, false) THEN true WHEN coalesce(c2, false) THEN false WHEN regexp_matches(a, '^[A-Z0-9]*$') OR regexp_matches(b, '^[A-Z]') OR la IN ('km', 'm', 'cm', 'mm', 'kg', 'g', 'mg', 's', 'h', 'hr', 'yr', 'ka', 'ma', 'ga', 'kyr', 'myr', 'pa', 'mpa', 'gpa', 'hz', 'ppm') THEN true
+  ELSE length(a) >= 3 AND length(b) >= 3 AND coalesce(c3, false) AND coalesce(c4, false) END AS keep FROM g""")
 def keep_hyphen(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{3,}"), F.lit(0))).alias("word")).distinct()
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+(?:-[a-z]+)?"), F.lit(0))).alias("word")).distinct()
+    known = words.filter("length(word) % 3 != 0 OR contains(word, '-')")  # a third of the words is left out, so that all four outcomes come up
     half = F.floor(F.length("word") / 2)
-    pairs = words.filter("length(word) >= 6").select(F.substr("word", F.lit(1), half).alias("a"), F.substr("word", half + 1).alias("b")).distinct()
-    return sequence.keep_hyphen(pairs, words)
+    split = words.filter("length(word) BETWEEN 6 AND 12 AND NOT contains(word, '-')").select(F.substr("word", F.lit(1), half).alias("a"), F.substr("word", half + 1).alias("b"))
+    hyphened = words.filter("contains(word, '-')").select(F.split_part("word", F.lit("-"), F.lit(1)).alias("a"), F.split_part("word", F.lit("-"), F.lit(2)).alias("b"))
+    capital = words.filter("length(word) = 5").select(F.upper(F.substr("word", F.lit(1), F.lit(2))).alias("a"), F.col("word").alias("b"))
+    first, last = words.orderBy("word").limit(40), words.orderBy(F.desc("word")).limit(40)  # whole words side by side: a report's worth
+    beside = first.select(F.col("word").alias("a"), F.lit(1).alias("k")).join(last.select(F.col("word").alias("b"), F.lit(1).alias("k")), "k").drop("k")
+    return sequence.keep_hyphen(split.unionByName(hyphened).unionByName(capital).unionByName(beside).distinct(), known)
 
 
 # --- similarity
@@ -244,11 +259,16 @@ def benchmark_trigram_coverage(spark, sf_dir):
     return similarity.ngram_coverage(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("""WITH r AS (SELECT source AS line, regexp_replace(substr(text, 1, 40), '[^ -~]', '', 'g') AS text, doc_id FROM documents), b AS (SELECT line, text, regexp_replace(text, '\\s+', '', 'g') AS bare, row_number() OVER (PARTITION BY line ORDER BY text) AS id FROM r),
+READINGS = "(SELECT key AS line, 'reading ' || unnest([text, text, text || ' ', replace(text, 'e', 'c'), replace(text, 'n', 'u') || 'x']) AS text FROM (SELECT item_id AS key, text FROM benchmark))"
+
+
+@query(f"""WITH b AS (SELECT line, text, regexp_replace(text, '\\s+', '', 'g') AS bare, row_number() OVER (PARTITION BY line ORDER BY text) AS id FROM {READINGS}),
  c AS (SELECT b.line, b.text, b.bare, b.id, coalesce(sum(levenshtein(b.bare, o.bare)), 0) AS cost FROM b LEFT JOIN b o ON b.line = o.line AND b.id <> o.id GROUP BY ALL)
  SELECT line, text FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY cost, -length(bare), id) AS k FROM c) WHERE k = 1""")
 def consensus_reading(spark, sf_dir):
-    readings = table(spark, sf_dir, "documents").select(F.col("source").alias("line"), F.regexp_replace(F.substr("text", F.lit(1), F.lit(40)), "[^ -~]", "").alias("text"))
+    text = F.col("text")
+    five = F.array(text, text, F.concat(text, F.lit(" ")), F.replace(text, F.lit("e"), F.lit("c")), F.concat(F.replace(text, F.lit("n"), F.lit("u")), F.lit("x")))  # five readings of each line, whole
+    readings = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("line"), F.explode(five).alias("text")).withColumn("text", F.concat(F.lit("reading "), "text"))
     return similarity.consensus(readings, "line", "text", F.lit(0))
 
 
@@ -428,7 +448,10 @@ def markdown_nodes(spark, sf_dir):
     return nodes.parse(table(spark, sf_dir, "documents"), markdown=True, pages=10)
 
 
-@query()
+@query("""WITH p AS (SELECT doc_id, text, unnest(string_split(text, chr(10) || chr(10))) AS part, unnest(range(len(string_split(text, chr(10) || chr(10))))) AS k FROM documents),
+ o AS (SELECT *, coalesce(sum(length(part) + 2) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM p),
+ b AS (SELECT *, array_to_string(list_filter(list_transform(string_split(part, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), ' ') AS body FROM o)
+ SELECT doc_id, cast(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS node_ix, 'paragraph' AS kind, 0 AS level, body AS text, cast(least(9, floor(off / greatest(1, length(text)) * 10)) AS INT) AS page FROM b WHERE body <> ''""")
 def text_nodes(spark, sf_dir):
     return nodes.parse(table(spark, sf_dir, "documents"), markdown=False, pages=10)
 
@@ -443,19 +466,20 @@ def translation_plan(spark, sf_dir):
     return engines.plan(nodes.html_nodes(table(spark, sf_dir, "pages"))).withColumn("hash", uni.fnv1a("text"))
 
 
-CELLS = "(SELECT doc_id, [doc_id::VARCHAR, lang, source] AS head, [n_chars::VARCHAR, replace(substr(text, 1, 20), chr(10), ' '), 'a\"b'] AS body FROM documents)"
+CELLS = "(SELECT doc_id, [doc_id::VARCHAR, lang, source] AS head, [n_chars::VARCHAR, replace(text, chr(10), ' '), 'a\"b'] AS body FROM documents)"
 
 
 @query(f"""SELECT doc_id, array_to_string(list_transform(head, lambda v: v), ',') || chr(13) || chr(10) || array_to_string(list_transform(body, lambda v: CASE WHEN regexp_matches(v, '[,"\\n\\r]') THEN '"' || replace(v, '"', '""') || '"' ELSE v END), ',') || chr(13) || chr(10) AS csv FROM {CELLS}""")
 def table_csv(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    cells = F.array(F.array(F.col("doc_id").cast("string"), "lang", "source"), F.array(F.col("n_chars").cast("string"), F.replace(F.substr("text", F.lit(1), F.lit(20)), F.lit("\n"), F.lit(" ")), F.lit('a"b')))
+    cells = F.array(F.array(F.col("doc_id").cast("string"), "lang", "source"), F.array(F.col("n_chars").cast("string"), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit('a"b')))
     return docs.select("doc_id", nodes.delimited(cells).alias("csv"))
 
 
 @query()
 def table_cells(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("rows", F.transform(F.filter(F.split("text", "\n"), lambda r: F.contains(r, F.lit(" | "))), lambda r: F.replace(r, F.lit(" | "), F.lit("\t"))))
+    rows = lines(spark, sf_dir).filter(F.contains("line", F.lit(" | "))).select("doc_id", "line_ix", F.replace("line", F.lit(" | "), F.lit("\t")).alias("row"))
+    docs = rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_ix", "row"))), lambda x: x["row"]).alias("rows"))
     return docs.select("doc_id", nodes.table_cells(F.col("rows")).alias("cells")).filter("cells IS NOT NULL").withColumn("markdown", nodes.pipe_table(F.col("cells")))
 
 

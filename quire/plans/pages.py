@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from quire.functions import text as rules
 from quire.functions import unicode as uni
 from quire.functions.dialect import DUCK, column
-from quire.operators import chars, engines, matching, nodes, structure
+from quire.functions.fixture import CHARACTERS
+from quire.operators import chars, matching, nodes, structure
 from quire.plans.operators import LAYOUT, layout, lines, table
 
 QUERIES: dict = {}
@@ -26,7 +27,8 @@ def query(sql: str | None = None):
 
 def made_chars(spark, sf_dir):
     """Characters of the lines of the made layout."""
-    return chars.char_boxes(layout(spark, sf_dir)).withColumns({"size": F.lit(10.0), "font": F.lit("ABCDEF+Times-Roman")})
+    made = spark.createDataFrame(CHARACTERS, "doc_id long, page int, line_ix int, char_ix int, c string, x0 double, y0 double, x1 double, y1 double, size double")
+    return chars.char_boxes(layout(spark, sf_dir)).withColumn("size", F.lit(10.0)).unionByName(made).withColumn("font", F.lit("ABCDEF+Times-Roman"))
 
 
 @query(f"""WITH b AS (SELECT doc_id, page, {rules.digits_key(DUCK, 'text')} AS key FROM {LAYOUT} WHERE y1 < 400 * 0.15 OR y0 > 400 * 0.85), n AS (SELECT doc_id, count(DISTINCT page) AS n FROM {LAYOUT} GROUP BY doc_id)
@@ -63,17 +65,10 @@ def heading_levels(spark, sf_dir):
     return layout(spark, sf_dir).select("doc_id", "page", "line_ix", structure.heading_level(F.col("size"), 10.0, F.lit(False)).cast("long").alias("level"))
 
 
-@query(f"SELECT doc_id, cast(count(*) AS BIGINT) AS chars, cast(sum(CASE WHEN regexp_matches(line, '[\\x{{FFFD}}\\x{{E000}}-\\x{{F8FF}}]') THEN 1 ELSE 0 END) AS BIGINT) AS bad, {rules.cover_sheet(DUCK, 'any_value(t)')} AS cover FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, text AS t FROM documents) GROUP BY doc_id")
+@query(f"SELECT doc_id, cast(count(*) AS BIGINT) AS lines, cast(sum(CASE WHEN regexp_matches(line, '[\\x{{FFFD}}\\x{{E000}}-\\x{{F8FF}}]') THEN 1 ELSE 0 END) AS BIGINT) AS bad, {rules.cover_sheet(DUCK, 'any_value(t)')} AS cover FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, text AS t FROM documents) GROUP BY doc_id")
 def cover_sheets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("chars"), F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[\x{FFFD}\x{E000}-\x{F8FF}]"))).cast("long").alias("bad"), column(rules.cover_sheet, "text").alias("cover"))
-
-
-@query("SELECT doc_id, CASE WHEN length(text) < 20 AND n_chars % 2 = 0 THEN 'scan' WHEN length(text) >= 20 AND doc_id % 7 * 10 > 60 THEN 'codes' END AS reason FROM documents")
-def needs_ocr(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    total = F.when(F.length("text") < 20, F.length("text")).otherwise(20)
-    return docs.select("doc_id", engines.needs_ocr(total, F.when(F.length("text") < 20, 0).otherwise(F.col("doc_id") % 7), F.when(F.col("n_chars") % 2 == 0, 1.0).otherwise(0.0)).alias("reason"))
+    return docs.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("lines"), F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[\x{FFFD}\x{E000}-\x{F8FF}]"))).cast("long").alias("bad"), column(rules.cover_sheet, "text").alias("cover"))
 
 
 @query()
@@ -106,11 +101,6 @@ def drop_caps(spark, sf_dir):
     return structure.drop_caps(layout(spark, sf_dir))
 
 
-@query(f"SELECT doc_id, page, min_by(line_ix, line_ix) AS first FROM {LAYOUT} GROUP BY doc_id, page HAVING count(*) > 0")
-def first_lines(spark, sf_dir):
-    return layout(spark, sf_dir).groupBy("doc_id", "page").agg(F.min("line_ix").alias("first"))
-
-
 @query()
 def ligatures_and_accents(spark, sf_dir):
     return chars.spaced_lines(chars.attach_accents(chars.split_ligatures(chars.visible(made_chars(spark, sf_dir)))))

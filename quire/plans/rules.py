@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as rules
 from quire.functions.dialect import DUCK, Rule, column
-from quire.functions.fixture import LINES
+from quire.functions.fixture import LINES, REFERENCES, TABLE
 
 Query = Callable[[SparkSession, str], DataFrame]
+MADE = [(-1 - d, k, x) for d, texts in enumerate((LINES, REFERENCES, TABLE)) for k, x in enumerate(texts)]
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, line_ix, line): documents cut at newlines; the hand-made lines are document -1."""
+    """(doc_id, line_ix, line): documents cut at newlines; the hand-made lines are documents -1 to -3."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_ix", "line"))
-    made = spark.createDataFrame([(-1, k, x) for k, x in enumerate(LINES)], "doc_id long, line_ix int, line string")
+    made = spark.createDataFrame(MADE, "doc_id long, line_ix int, line string")
     return docs.unionByName(made)
 
 
@@ -27,7 +28,7 @@ def _quoted(text: str) -> str:
 
 LINES_SQL = (
     "SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_ix, unnest(string_split(text, chr(10))) AS line FROM documents "
-    "UNION ALL SELECT -1, ix, line FROM (VALUES " + ", ".join(f"({k}, {_quoted(x)})" for k, x in enumerate(LINES)) + ") made(ix, line)"
+    "UNION ALL SELECT doc, ix, line FROM (VALUES " + ", ".join(f"({d}, {k}, {_quoted(x)})" for d, k, x in MADE) + ") made(doc, ix, line)"
 )
 
 

@@ -21,6 +21,9 @@ CASES = [
     ("web_uri", "file://www.harbour.example/tides", "https://www.harbour.example/tides"), ("web_uri", "file:///D:/rye.txt", "file:///D:/rye.txt"), ("unspace_address", "http://m.n /o p q", "http://m.n/o p q"), ("digits_key", "Row 31 of 8", "Row##of#"), ("compact_text", "Cd-e 2", "cde"),
     ("collapse_letterspacing", "B A R O Q UE", "BAROQUE"), ("collapse_letterspacing", "BA RO QU E", "BA RO QU E"), ("dehyphenate", "sour-\ndough", "sourdough"), ("dehyphenate", "sour-\nDough", "sour-\nDough"), ("japanese_stops", "音楽, 船.", "音楽， 船．"), ("mostly_symbols", "21 43 y", True), ("looks_like_reference", "Writer Y (1998) Song. Annals 7(1):9–21", True), ("tripled_word", "Row Row Row boat", True), ("tripled_word", "2 2 2", False),
     ("find_year", "in 2030.", 2030), ("is_kicker", "short  communication:", True), ("is_kicker", "short bread", False), ("is_boilerplate", "Copyright 1994 by the guild", True), ("dates_line", "(2003年4月2日受理)", True), ("dated_note", "Available online 17 August 2016", True), ("note_opening", "† of the harbour", True), ("section_word", "Appendix C", True), ("item_number", "3) The third oar", 3), ("is_list_marker", "▪ first oar", True), ("japanese_title", "B号船とその帆", True), ("font_bold", "Optima-BoldOblique", True), ("font_italic", "Bembo-It", True), ("is_math_font", "CMSY7", True), ("is_math_font", "Lato-Regular", False), ("url_continues", "see www.harbour.example/list_", True), ("strip_marker", "• oar", "oar"), ("drop_cjk_spaces", "音 楽 と 船", "音楽と船"), ("trim_line_spaces", " \u3000段落 ", "\u3000段落"), ("plain_spaces", "a\u2009b", "a b"), ("is_junk", "\ufffd\ue001", True), ("prose_like", "the boat is in the harbour of the town", True), ("prose_like", "mast sail oar keel", False),
+    ("has_kanji", "B号船", True), ("has_kanji", "パン", False), ("has_katakana", "パン", True), ("has_hiragana", "パンの", True), ("wants_more", "of oars and", True), ("wants_more", "loaves (and", True), ("wants_more", "of oars", False), ("opens_entry", " Rye", True), ("opens_entry", "rye", False), ("opens_entry", " ", False),
+    ("math_permille", "∑ w=", 666), ("math_permille", "", None), ("is_equation_line", "p + q = r (4)", True), ("is_equation_line", "(4)", False), ("is_mathish", "∑ w = 1", True), ("is_mathish", "a loaf of rye bread", False), ("title_like", "The Second Harbour", True), ("title_like", "It is late.", False), ("bare_number", " 42 ", True), ("bare_number", "42b", False),
+    ("own_equation_number", "(2.3)", "2.3"), ("own_equation_number", "(b)", None), ("local_address", "http://localhost:8080/x", True), ("local_address", "https://localhost.example/", False), ("version_key", "v3.4.2", 30000400002), ("version_key", "0.12", 1200000), ("version_key", "5.0.1-beta", 50000000001), ("version_key", "2.x", None), ("font_family", "QWERTY+Caslon-Bold", "caslon-bold"), ("slug", "my file: one/two.txt", "my_file__one_two.txt"), ("half_ems", "a船", 3),
 ]
 
 
