@@ -51,8 +51,8 @@ def lexicon(lines: DataFrame) -> DataFrame:
 def layer_quality(pages: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, en_words, en_bad, en_rate): words that are garbled or that neither the dictionary ``known`` (word) has nor the document itself uses three times; the rate is null below 300 words."""
     words = pages.select("doc_id", F.explode(column(rules.quality_words, "dehyphenated")).alias("w")) if "dehyphenated" in pages.columns else pages.select("doc_id", column(rules.dehyphenate, "text").alias("t")).select("doc_id", F.explode(column(rules.quality_words, "t")).alias("w"))
-    counts = words.groupBy("doc_id", "w").agg(F.count("*").alias("n"))  # each form is judged once
-    counts = counts.withColumn("uses", F.sum("n").over(W.partitionBy("doc_id", F.lower("w"))))
+    forms = words.groupBy("doc_id", "w").agg(F.count("*").alias("n")).groupBy("doc_id", F.lower("w").alias("low")).agg(F.sum("n").alias("uses"), F.collect_list(F.struct("w", "n")).alias("forms"))
+    counts = forms.select("doc_id", "uses", F.inline("forms"))  # each form is judged once
     judged = counts.withColumns({"garbled": column(rules.garbled, "w"), "plain": F.col("w").rlike("^[a-z]+$")}).filter("garbled OR plain")
     judged = judged.join(known.select(F.col("word").alias("w")).distinct().withColumn("is_known", F.lit(True)), "w", "left")
     bad = F.col("garbled") | (F.col("is_known").isNull() & ((F.length("w") < 5) | (F.col("uses") < 3)))
@@ -63,10 +63,10 @@ def layer_quality(pages: DataFrame, known: DataFrame) -> DataFrame:
 def text_layer_share(lines: DataFrame) -> DataFrame:
     """(doc_id, good, judged, quality): characters on plausible lines of four characters and more; 1 below 200 characters."""
     n = F.length(column(lambda q, t: rules.unspaced(q, t), "line"))
-    w = column(rules.words, "line")
+    w = F.col("w")
     wordy = F.size(F.filter(w, lambda x: (F.regexp_count(x, F.lit(r"\p{L}")) >= 3) & (F.regexp_count(x, F.lit(r"\p{L}")) * 10 >= F.length(x) * 7)))
     plausible = column(rules.prose_like, "line") | ((F.size(w) > 0) & (wordy * 2 >= F.size(w)))
-    judged = lines.withColumn("n", n).filter("n >= 4").withColumn("ok", plausible)
+    judged = lines.withColumn("n", n).filter("n >= 4").withColumn("w", column(rules.words, "line")).withColumn("ok", plausible)
     out = judged.groupBy("doc_id").agg(F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("good"), F.sum("n").alias("judged"))
     return out.withColumn("quality", F.when(F.col("judged") < 200, 1.0).otherwise(F.col("good") / F.col("judged")))
 

@@ -16,17 +16,33 @@ def bigram_similar(a: Column, b: Column) -> Column:
     return (short * 100 >= long * 85) & (F.size(F.array_intersect(a, b)) * 10 >= long * 8)
 
 
+#: Words of 64 bits that a set of bigrams is folded into.
+FOLDS = 4
+
+
+def folded(grams: Column, k: int) -> Column:
+    """The k-th of the words of bits that stand for a set: sets differ by no fewer bigrams than their bits."""
+    place = lambda x: F.pmod(F.xxhash64(x), F.lit(64 * FOLDS))
+    bit = lambda x: F.when(F.floor(place(x) / 64) == k, F.call_function("shiftleft", F.lit(1).cast("long"), (place(x) % 64).cast("int"))).otherwise(F.lit(0).cast("long"))
+    return F.aggregate(grams, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x)))
+
+
 def similar_lines(keys: DataFrame) -> DataFrame:
-    """(a, b): pairs of similar keys of (key), a < b. Sets that share four fifths of the longer one share a bigram among the rarest fifth (and one) of either, so only those are joined on, which is exact."""
-    grams = keys.select("key", column(rules.bigrams, "key").alias("g")).filter("size(g) >= 5")
-    each = grams.select("key", F.explode("g").alias("x"), F.size("g").alias("n"))
-    df = each.groupBy("x").agg(F.count("*").alias("df"))
+    """(a, b): pairs of similar keys of (key), a < b. Sets that share four fifths of the longer one share a bigram among the rarest fifth (and one) of either, and their sizes are of one band or of neighbouring ones, so only those are joined on, which is exact; what the folded bits cannot tell apart is compared whole."""
+    grams = keys.select("key", column(rules.bigrams, "key").alias("g")).filter("size(g) >= 5").withColumn("id", F.xxhash64("key"))
+    bits = {f"f{k}": folded(F.col("g"), k) for k in range(FOLDS)}
+    each = grams.select("id", "key", F.size("g").alias("n"), *(v.alias(k) for k, v in bits.items()), F.explode("g").alias("x"))
+    df = each.groupBy("x").agg(F.count("*").alias("df"))  # as many as there are bigrams
     ranked = each.join(df, "x").withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("df", "x")))
-    rare = ranked.filter("r <= n - (n * 8 + 9) div 10 + 1").select("key", "x", "n")
-    left, right = rare.select(F.col("key").alias("a"), "x", F.col("n").alias("na")), rare.select(F.col("key").alias("b"), "x", F.col("n").alias("nb"))
-    pairs = left.join(right, "x").filter("a < b AND least(na, nb) * 100 >= greatest(na, nb) * 85").select("a", "b").distinct()
-    ga, gb = grams.select(F.col("key").alias("a"), F.col("g").alias("ga")), grams.select(F.col("key").alias("b"), F.col("g").alias("gb"))
-    return pairs.join(ga, "a").join(gb, "b").filter(bigram_similar(F.col("ga"), F.col("gb"))).select("a", "b")
+    rare = ranked.filter("r <= n - (n * 8 + 9) div 10 + 1").withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / 85))))
+    names = ["id", "key", "n", *bits]
+    left = rare.select("x", "band", *(F.col(c).alias("a_" + c) for c in names))
+    right = rare.select("x", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), *(F.col(c).alias("b_" + c) for c in names))
+    apart = sum((F.bit_count(F.col(f"a_f{k}").bitwiseXOR(F.col(f"b_f{k}"))) for k in range(FOLDS)), F.lit(0))
+    most = F.col("a_n") + F.col("b_n") - 2 * F.floor((F.greatest("a_n", "b_n") * 8 + 9) / 10)
+    pairs = left.join(right, ["x", "band"]).filter("a_key < b_key AND least(a_n, b_n) * 100 >= greatest(a_n, b_n) * 85").filter(apart <= most).select("a_id", "b_id").distinct()
+    ga, gb = grams.select(F.col("id").alias("a_id"), F.col("key").alias("a"), F.col("g").alias("ga")), grams.select(F.col("id").alias("b_id"), F.col("key").alias("b"), F.col("g").alias("gb"))
+    return pairs.join(ga, "a_id").join(gb, "b_id").filter("a < b").filter(bigram_similar(F.col("ga"), F.col("gb"))).select("a", "b").distinct()
 
 
 def ngrams(words: Column, n: int) -> Column:

@@ -102,8 +102,8 @@ def word_lexicon(spark, sf_dir):
  CASE WHEN sum(n) >= 300 THEN sum(CASE WHEN g OR (w NOT IN (SELECT w FROM k) AND (length(w) < 5 OR uses < 3)) THEN n ELSE 0 END) / sum(n) END AS en_rate FROM j WHERE g OR regexp_matches(w, '^[a-z]+$') GROUP BY doc_id""")
 def unknown_word_rate(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    words = docs.select("doc_id", F.explode(column(rules.words, "text")).alias("w")).select("doc_id", F.lower("w").alias("word"))
-    known = words.groupBy("word").agg(F.countDistinct("doc_id").alias("df")).filter("df >= 20")
+    words = docs.select(F.explode(F.array_distinct(F.transform(column(rules.words, "text"), lambda w: F.lower(w)))).alias("word"))  # each document has a word once
+    known = words.groupBy("word").agg(F.count("*").alias("df")).filter("df >= 20")
     return aggregates.layer_quality(docs, known)
 
 
@@ -242,11 +242,15 @@ def keep_hyphen(spark, sf_dir):
 # --- similarity
 
 
-@query(f"""WITH k AS (SELECT DISTINCT {rules.compact_text(DUCK, 'line')} AS key FROM {L} WHERE length(line) BETWEEN 6 AND 60), g AS (SELECT key, {rules.bigrams(DUCK, 'key')} AS g FROM k), h AS (SELECT * FROM g WHERE len(g) >= 5)
+HEADS = f"(SELECT DISTINCT {rules.compact_text(DUCK, 'text')} AS key FROM {LAYOUT} WHERE y1 < 400 * 0.15 OR y0 > 400 * 0.85)"
+
+
+@query(f"""WITH g AS (SELECT key, {rules.bigrams(DUCK, 'key')} AS g FROM {HEADS}), h AS (SELECT * FROM g WHERE len(g) >= 5)
  SELECT x.key AS a, y.key AS b FROM h x JOIN h y ON x.key < y.key AND least(len(x.g), len(y.g)) * 100 >= greatest(len(x.g), len(y.g)) * 85 WHERE len(list_intersect(x.g, y.g)) * 10 >= greatest(len(x.g), len(y.g)) * 8""")
 def bigram_similar_lines(spark, sf_dir):
-    keys = lines(spark, sf_dir).filter("length(line) between 6 and 60").select(column(rules.compact_text, "line").alias("key")).distinct()
-    return similarity.similar_lines(keys)
+    """The heads and feet of all pages, whole."""
+    heads = layout(spark, sf_dir).filter("y1 < 400 * 0.15 OR y0 > 400 * 0.85")
+    return similarity.similar_lines(heads.select(column(rules.compact_text, "text").alias("key")).distinct())
 
 
 GRAMS = lambda t, i: f"SELECT DISTINCT {i}, unnest(list_transform(range(1, greatest(len(w) - 1, 1)), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) AS gram FROM (SELECT {i}, {rules.tokens(DUCK, 'text')} AS w FROM {t})"
