@@ -31,7 +31,9 @@ STEMS = (4, 6, 8)
 #: At most so many labelled rows are fitted on, those with the smallest hashes of their ids.
 FIT_ROWS = 12_000
 #: Texts that have a feature, at least; weight of the prior in counts; expected chance segments that make one significant.
-LEAST, PRIOR, SIGNIFICANT = 5, 2.0, 0.2
+LEAST, PRIOR, SIGNIFICANT = 5, 2.0, 0.02
+#: The highest best segments of clean texts, which K is fitted to.
+TAIL = 0.02
 #: Scores are clipped here and shifted down, so that a segment must earn its words.
 CLIP, SHIFT = 8.0, 0.3
 
@@ -128,20 +130,30 @@ def scale_of(scores: Counter) -> float:
     return low
 
 
-def k_of(best: list[tuple[float, int]], scale: float) -> float:
-    """The likeliest K for (best segment's score, words) of clean texts, if the score of a text of n words is at most x with chance exp(-K n exp(-lambda x))."""
-    expected = sum(n * math.exp(-scale * x) for x, n in best)
-    return len(best) / expected if expected > 0 else 0.1
+def k_of(best: list[tuple[float, int]], scale: float, share: float = TAIL) -> float:
+    """The likeliest K for (best segment's score, words) of clean texts, if the score of a text of n words is at most x with chance
+    exp(-K n exp(-lambda x)). The law is one of large scores, so of those below the highest ``share`` only that they are is known."""
+    least = sorted(x for x, _ in best)[int(len(best) * (1 - share))] if best else 0.0
+    known = sum(x >= least for x, _ in best)
+    expected = sum(n * math.exp(-scale * max(x, least)) for x, n in best)
+    return known / expected if expected > 0 else 0.1
 
 
 def calibrated(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve over log(1 + evidence), with a small ridge; by Newton's method."""
+    """Slope and offset of a logistic curve over log(1 + evidence): by Newton's method with a small ridge, and then moved half the way to where the fewest labels are on the wrong side (the middle of the widest such gap), for a few wrong labels with much evidence pull the curve."""
     x, w = np.stack([np.log1p(evidence), np.ones(len(evidence))], 1), np.array([1.0, -2.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (toxic - p) - 1e-2 * w
         w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2), np.clip(slope, -1e6, 1e6))
-    return float(w[0]), float(w[1])
+    values, at = np.unique(x[:, 0], return_inverse=True)
+    if w[0] <= 0 or len(values) < 2:
+        return float(w[0]), float(w[1])
+    bad, good = np.bincount(at, toxic, len(values)), np.bincount(at, 1 - toxic, len(values))
+    wrong = np.cumsum(bad)[:-1] + good.sum() - np.cumsum(good)[:-1]
+    gap = np.where(wrong == wrong.min(), np.diff(values), -1.0)
+    k = int(gap.argmax())
+    return float(w[0]), float((w[1] - w[0] * (values[k] + values[k + 1]) / 2) / 2)
 
 
 def fold_of(one: int) -> int:
