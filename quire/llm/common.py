@@ -77,6 +77,25 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
+#: A key with more than one row in so many is taken to its rows; there are fewer such keys than this.
+HOT = 1000
+
+
+def spread_join(rows: DataFrame, key: str, table: DataFrame, of: str, size: str, total: int) -> DataFrame:
+    """``rows`` with the columns of the row of ``table`` whose ``of`` is their ``key``; rows without one go.
+
+    ``table`` has one row for each key, whose ``size`` says how many of ``total`` rows have it. Rows of large keys get theirs from a
+    broadcast of fewer than HOT rows; the other rows are dealt by key, and in that shuffle those of large keys by their content.
+    """
+    names = [c for c in table.columns if c not in (of, size)]
+    hot = table.filter(F.col(size) * HOT > total).select(F.col(of).alias("hot_of"), *(F.col(c).alias(f"hot_{c}") for c in names))
+    salt = F.when(F.col("hot_of").isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30)))
+    spread = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_of"), "left").withColumn("spread_key", F.struct(F.col(key).alias("k"), salt.alias("s")))
+    cold = table.select(F.struct(F.col(of).alias("k"), F.lit(-1).cast("long").alias("s")).alias("spread_of"), *(F.col(c).alias(f"cold_{c}") for c in names))
+    joined = spread.join(cold, F.col("spread_key") == F.col("spread_of"), "left").filter("hot_of IS NOT NULL OR spread_of IS NOT NULL")
+    return joined.select(*rows.columns, *(F.when(F.col("hot_of").isNull(), F.col(f"cold_{c}")).otherwise(F.col(f"hot_{c}")).alias(c) for c in names))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

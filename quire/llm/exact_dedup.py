@@ -17,13 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import ascii_lower, partitions, text_or_empty, written
+from quire.llm.common import ascii_lower, partitions, spread_join, text_or_empty, written
 
 SLOTS, KICKS, FULL = 4, 200, 0.9
 #: Rows that a part of the index is for, at most on the mean; its entries lie in one worker's memory.
 PART = 500_000
-#: A group with more than one row in so many is taken to the rows; there are fewer such groups than this.
-HOT = 1000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -215,11 +213,6 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     found = digests(docs)
     rows = docs.count()
     index = written(live_index(found, rows), "digests")
-    hot = index.filter(F.col("group_size") * HOT > rows).select(F.col("digest").alias("hot"), F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_size"))
-    # rows of large groups have their entry from the broadcast; in the join that the others take they are spread by a key that matches nothing
-    apart = F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string")))
-    spread = found.join(F.broadcast(hot), F.col("digest") == F.col("hot"), "left").withColumn("key", apart)
-    joined = spread.join(index.select(F.col("digest").alias("of"), "keep_id", "group_size"), F.col("key") == F.col("of"), "left")
-    keep = F.when(F.col("hot").isNull(), F.col("keep_id")).otherwise(F.col("hot_id"))
-    size = F.when(F.col("hot").isNull(), F.col("group_size")).otherwise(F.col("hot_size"))
-    return joined.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("digest").alias("text_sha256"))
+    groups = index.select(F.col("digest").alias("of"), "keep_id", "group_size", F.col("group_size").alias("rows"))
+    joined = spread_join(found, "digest", groups, "of", "rows", rows)
+    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
