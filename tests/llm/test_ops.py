@@ -253,16 +253,63 @@ def near_rows():
     return [*enumerate(rows), (900, ""), (901, None), (902, " \n"), (903, rows[0].upper())]
 
 
-@pytest.mark.parametrize(("words", "percent", "members"), [(4, 85, 4096), (5, 80, 4096), (4, 85, 8)])
-def test_jaccard_join(spark, monkeypatch, words, percent, members):
+@pytest.mark.parametrize(("words", "percent", "members", "handed"), [(4, 85, 4096, 250_000), (5, 80, 4096, 0), (4, 85, 8, 0), (4, 85, 8, 250_000)])
+def test_jaccard_join(spark, monkeypatch, words, percent, members, handed):
     from quire.llm import jaccard_join as j
 
     monkeypatch.setattr(j, "MEMBERS", members)
+    monkeypatch.setattr(j, "HANDED", handed)
+    line = "one very common line that stands in many of the short texts"
     rows = near_rows()
+    rows += [(1000 + k, f"{line} {t}" if k % 2 else f"{t} {line}") for k, (_, t) in enumerate(rows[:150]) if len((t or "").split()) < 40] + [(1400, "long " * 50_000), (1401, "long " * 50_001)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in j.jaccard_join(frame(spark, rows), words, percent).collect()}
     assert got == plain_join(rows, words, percent)
 
 
+def test_voronoi_cells():
+    """Cells, windows and recursion connect what all pairs connect: families of near sets, chains, strangers with a common part."""
+    from quire.llm import jaccard_join as j
+
+    rng = np.random.default_rng(8)
+    draw = lambda n: rng.integers(0, 1 << 62, n).astype(np.uint64)
+    for family, common in ((40, 0), (5, 60), (300, 0), (1, 30)):
+        sets = []
+        while len(sets) < 400:
+            base = draw(100)
+            shared = np.arange(common, dtype=np.uint64)
+            for _ in range(family):
+                sets.append(np.unique(np.r_[rng.permutation(base)[: rng.integers(86, 101)], draw(rng.integers(0, 4)), shared]))
+                if rng.random() < 0.3:
+                    base = np.r_[base[5:], draw(5)]  # the family drifts, so that links make chains
+        ids = np.arange(len(sets))
+        for asking in (None, rng.random(len(sets)) < 0.3):
+            links, group = j.linked(sets, ids, asking=asking)
+            root = list(range(len(sets)))
+
+            def find(x, root=root):
+                while root[x] != x:
+                    x = root[x]
+                return x
+
+            for a in range(len(sets)):
+                for b in range(a):
+                    if asking is None or asking[a] != asking[b]:
+                        o = len(np.intersect1d(sets[a], sets[b], assume_unique=True)) if min(len(sets[a]), len(sets[b])) * 100 >= 85 * max(len(sets[a]), len(sets[b])) else 0
+                        if 100 * o >= 85 * (len(sets[a]) + len(sets[b]) - o) > 0:
+                            root[find(a)] = find(b)
+            want = [find(x) for x in range(len(sets))]
+            assert len(set(zip(want, group.tolist(), strict=True))) == len(set(want)) == len(set(group.tolist()))
+
+
+def test_large_keys_are_spread(spark):
+    from quire.llm.common import spread_join
+
+    rows = spark.createDataFrame([(k, "big" if k % 3 else f"k{k}") for k in range(3000)], "id long, key string")
+    table = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")).filter("key != 'k0'").withColumnRenamed("key", "of")
+    got = {r.id: r.least for r in spread_join(rows, "key", table, "of", "n", 3000).collect()}
+    assert got == {k: 1 if k % 3 else k for k in range(1, 3000)}
+
+
 def test_keys_of_all_levels():
     from quire.llm.jaccard_join import keys
 
