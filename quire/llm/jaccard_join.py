@@ -1,26 +1,30 @@
 """Exact Jaccard join of documents' word n-grams in metric space, and the groups that the links make.
 
-Jaccard distance is a metric, but most pairs of documents are at distance 1, so pivots are chosen where documents
+Jaccard distance is a metric, but most pairs of documents are at distance 1, so the space is cut where documents
 already share content: a document's n-grams are dealt into classes by hash, so many that two documents within the
 threshold must have a class with the same n-grams among their largest ones (each n-gram that differs spoils one
-class, and there are more classes than may differ). All documents with an equal class make a region around its pivot,
-the member with the least hash; a document that is near several pivots is in all their regions. Inside a region
-members are compared with pivots, and the triangle inequality leaves, for each, the members whose distances to the
-pivots differ by no more than the threshold; what is linked already is not compared again. Regions that are too large
-for one task are split into parts that all have the pivot, and members that their part does not link to the pivot are then
-taken to all parts, so that no pair is missed.
+class, and there are more classes than may differ). In short documents each n-gram is a class, the rarer ones of a sample first, so that a
+common line brings no strangers together. All documents with an equal class make a region around its pivot,
+the member with the least hash; a document that is near several pivots is in all their regions.
+
+Inside a region more pivots make Voronoi cells: a member belongs to the cell of its nearest pivot, and by the triangle
+inequality two members within the threshold are both in the cell of either's nearest pivot if members also go to the cells of
+pivots that are farther by no more than two thresholds. Cells are cut again in the same way until they are small or
+would hold more pairs than before; there, pairs are compared whose distances to all pivots so far differ by no more than the threshold
+and that links do not connect yet. Regions too large for one task are split into parts that all have the
+pivot, and members that their part does not link to it are then taken to all parts, so that no pair is missed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import discard, partitions, small_batches, written
+from quire.llm.common import discard, partitions, small_batches, spread_join, written
 from quire.llm.suffix_dedup import MESSAGE, REPEATED, meet_by_core, messages, mixed, sifted, unpacked
 
 U = np.uint64
@@ -30,8 +34,12 @@ WORDS, PERCENT = 4, 85
 SMALL = 64
 #: Members of a region, or of a part of it, that one task compares.
 MEMBERS = 4096
+#: Pivots that cut a region or a cell, and members of a cell that are compared without a further cut.
+PIVOTS, CELL = 8, 64
 #: Rows of (document, region) up to which they are handed to all tasks, some 60 bytes each, rather than the sets dealt out by document first.
-HANDED = 500_000
+HANDED = 250_000
+#: Documents that the frequent n-grams are looked for in, and the share of these (one in so many) that makes an n-gram frequent.
+SAMPLE, FREQUENT = 20_000, 200
 #: Bits of the map of members that all tasks get (packed, 4 MB), whatever the number of documents.
 BITS = 1 << 25
 #: Bytes that are hashed at once, and pairs that a task gathers before it sends them.
@@ -105,8 +113,11 @@ def classes(k: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.ceil(SMALL * 2.0 ** ((k + 1) / 2) / full).astype(np.int64) + 1
 
 
-def keys(sets: list[np.ndarray], seed: int = 0, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set's number, key) of all keys, and the sets whose classes are too few. Sets that link share a key."""
+def keys(sets: list[np.ndarray], seed: int = 0, percent: int = PERCENT, frequent: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set's number, key) of all keys, and the sets whose classes are too few. Sets that link share a key.
+
+    ``frequent``: n-grams, sorted, and how frequent each is; in short sets they come last.
+    """
     n = np.array([len(s) for s in sets], np.int64)
     own, above = level(n), level(100 * n // percent)
     owners, found, spoilt = [], [], []
@@ -114,7 +125,7 @@ def keys(sets: list[np.ndarray], seed: int = 0, percent: int = PERCENT) -> tuple
         which, levels = np.flatnonzero((n > 0) & (own + step <= above)), own + step
         small = which[levels[which] < 0]
         for i in small.tolist():
-            s = sets[i][: n[i] - -(-percent * int(n[i]) // 100) + 1]
+            s = _rarest(sets[i], frequent)[: n[i] - -(-percent * int(n[i]) // 100) + 1]
             owners.append(np.full(len(s), i)), found.append(mixed(s * TURNS[40] + U(1)))
         big = which[levels[which] >= 0]
         if not len(big):
@@ -142,16 +153,23 @@ def keys(sets: list[np.ndarray], seed: int = 0, percent: int = PERCENT) -> tuple
     return join(owners, np.int64), join(found, np.uint64), join(spoilt, np.int64)
 
 
-def linked(members: list[np.ndarray], ids: np.ndarray, percent: int = PERCENT, pairs: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+def _rarest(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    """A set in an order that is the same for all sets: by how frequent its n-grams are, then by themselves."""
+    if frequent is None or not len(frequent[0]):
+        return s
+    at = np.minimum(np.searchsorted(frequent[0], s), len(frequent[0]) - 1)
+    return s[np.argsort(np.where(frequent[0][at] == s, frequent[1][at], 0), kind="stable")]
+
+
+def linked(members: list[np.ndarray], ids: np.ndarray, percent: int = PERCENT, asking: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Links that connect what is connected among sets (the first is the pivot), and each one's group.
 
-    With ``pairs`` (two masks) only pairs between the two are compared.
+    With ``asking`` (a mask) only pairs of one that asks and one that doesn't are compared.
     """
     n = np.array([len(s) for s in members], np.int64)
-    group, done, out = np.arange(len(members)), np.zeros(len(members), bool), []
+    group, out = np.arange(len(members)), []
     flat, start = np.concatenate(members), np.cumsum(n) - n
     near = (100 - percent) / 100 + 1e-9
-    pivots: list[np.ndarray] = []
 
     def shared(i: int, others: np.ndarray) -> np.ndarray:
         """Shingles in common with each of the others."""
@@ -160,29 +178,80 @@ def linked(members: list[np.ndarray], ids: np.ndarray, percent: int = PERCENT, p
         place = np.minimum(np.searchsorted(members[i], flat[at]), n[i] - 1)
         return np.add.reduceat((members[i][place] == flat[at]).astype(np.int64), np.cumsum(size) - size)
 
-    for i in range(len(members)):
-        if pairs and not pairs[0][i]:
-            continue
-        rest = (group != group[i]) & ~done
-        if pairs:
-            rest &= pairs[1]
-        rest &= (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-        for far in pivots:
-            rest &= np.abs(far - far[i]) <= near
-        done[i] = True
-        others = np.flatnonzero(rest)
-        if not len(others):
-            continue
-        if len(pivots) < 8 and len(others) > 32:  # one more pivot, with its distances to all
-            common = shared(i, np.arange(len(members)))
-            pivots.append(1 - common / (n + n[i] - common))
-            common = common[others]
-        else:
-            common = shared(i, others)
+    def link(i: int, others: np.ndarray, common: np.ndarray) -> None:
         for j in others[100 * common >= percent * (n[others] + n[i] - common)].tolist():
-            if group[j] != group[i]:
+            if group[j] != group[i] and (asking is None or asking[i] != asking[j]):
                 out.append((int(ids[i]), int(ids[j])))
                 group[group == group[j]] = group[i]
+
+    def mixed_groups(which: np.ndarray) -> bool:
+        return bool((group[which] != group[which[0]]).any()) and (asking is None or (asking[which].any() and not asking[which].all()))
+
+    def meeting(which: np.ndarray) -> Callable[[int], np.ndarray]:
+        """For a cell, the members (places in ``which``) that share one of a member's rarest shingles with it, so many that linked sets share one."""
+        size = n[which]
+        first = np.cumsum(size) - size
+        at = np.repeat(start[which] - first, size) + np.arange(size.sum())
+        owner = np.repeat(np.arange(len(which)), size)
+        _, name, times = np.unique(flat[at], return_inverse=True, return_counts=True)
+        order = np.lexsort((name, times[name], owner))
+        rare = np.arange(len(order)) - first[owner] < (size + (-percent * size // 100) + 1)[owner]  # owner is sorted already
+        rare &= times[name[order]] > 1
+        name, owner = name[order][rare], owner[rare]
+        upto = np.searchsorted(owner, np.arange(len(which) + 1))
+        by_name = np.argsort(name, kind="stable")
+        members_of, begin = owner[by_name], np.searchsorted(name[by_name], np.arange(len(times) + 1))
+
+        def of(k: int) -> np.ndarray:
+            mine = name[upto[k] : upto[k + 1]]
+            return np.unique(np.concatenate([members_of[:0], *(members_of[begin[x] : begin[x + 1]] for x in mine.tolist())]))
+
+        return of
+
+    def compare(which: np.ndarray, far: list[np.ndarray]) -> None:
+        """All pairs of a cell that the pivots' distances (each for all members) don't part; none within its largest group."""
+        _, of, size = np.unique(group[which], return_inverse=True, return_counts=True)
+        outside = of != size.argmax()
+        which, strays = np.r_[which[outside], which[~outside]], int(outside.sum())
+        met = meeting(which) if len(which) > CELL else None
+        for k, i in enumerate(which[:strays].tolist()):
+            rest = which[k + 1 :] if met is None else which[(near_ones := met(k))[near_ones > k]]
+            keep = (group[rest] != group[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
+            if asking is not None:
+                keep &= asking[rest] != asking[i]
+            for d in far:
+                keep &= np.abs(d[rest] - d[i]) <= near
+            if len(rest := rest[keep]):
+                link(i, rest, shared(i, rest))
+
+    def cut(which: np.ndarray, far: list[np.ndarray]) -> None:
+        if len(which) < 2 or not mixed_groups(which):
+            return
+        if len(which) <= CELL:
+            return compare(which, far)
+        own: list[np.ndarray] = []
+        least, nearest, p = np.full(len(which), np.inf), np.zeros(len(which), np.int64), 0
+        while len(own) < PIVOTS:  # the next pivot is the member that is farthest from those so far
+            i = int(which[p])
+            common = shared(i, which)
+            link(i, which, common)
+            if not mixed_groups(which):
+                return
+            d = np.full(len(members), np.nan)
+            d[which] = 1 - common / (n[which] + n[i] - common)
+            nearest[d[which] < least] = len(own)
+            least = np.minimum(least, d[which])
+            own.append(d)
+            p = int(least.argmax())
+            if least[p] <= 2 * near:  # all are near some pivot: more cells would be the same ones
+                break
+        cells = [which[d[which] <= least + 2 * near] for k, d in enumerate(own) if (nearest == k).any()]
+        if sum(len(c) ** 2 for c in cells) >= len(which) ** 2:  # the cells do not shrink: their members are alike, or all strangers
+            return compare(which, [*far, *own])
+        for cell in cells:
+            cut(cell, [*far, *own])
+
+    cut(np.arange(len(members)), [])
     return out, group
 
 
@@ -199,14 +268,20 @@ def components(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     now = written(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
+
+    def with_least(rows: DataFrame, least: Column) -> DataFrame:
+        """rows (a, b) with m, the least of a's neighbours."""
+        found = rows.groupBy("a").agg(least.alias("m"), F.count("*").alias("rows")).withColumnRenamed("a", "of")
+        return spread_join(rows, "a", found, "of", "rows", rows.count())
+
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumnRenamed("a", "of")
-        large = both.join(least, F.col("a") == F.col("of")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = with_least(both, F.least(F.min("b"), F.first("a"))).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = written(large.filter("a != b"), "large")
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "of")
-        small = large.join(least, F.col("a") == F.col("of")).select(F.explode(F.array(F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a != b").distinct()
+        small = with_least(large, F.min("b")).select(F.explode(F.array(F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a != b").distinct()
+        discard(now)
         now = written(small, "small")
+        discard(large)
         after = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if after == before:
             break
@@ -214,6 +289,27 @@ def components(links: DataFrame) -> DataFrame:
     return now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def frequent_shingles(rows: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams, sorted, how many documents of the sample have each) of those that are in more than one in FREQUENT of the short documents in a sample of some SAMPLE documents, by the hashes of their ids. They only set the order in which n-grams are looked at, which any choice keeps exact."""
+    share = min(1.0, SAMPLE / max(1, rows.count()))
+    some = rows.filter("doc_id IS NOT NULL").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [s for s in shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), words) if len(s) < SMALL]
+            found, times = np.unique(np.concatenate([np.zeros(0, U), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view("<i8")), pa.array(times), pa.array(np.where(np.arange(len(found)) == 0, len(sets), 0))], ["gram", "n", "docs"])
+
+    counts = some.mapInArrow(counted, "gram long, n long, docs long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    counts = written(counts, "grams-counted")
+    total = counts.agg(F.sum("docs")).first()[0] or 0
+    often = counts.filter(F.col("n") * FREQUENT > total).filter("n > 1").select("gram", "n").toPandas()  # SMALL * FREQUENT rows at most
+    discard(counts)
+    grams = often["gram"].to_numpy().astype(np.int64).view(U) if len(often) else np.zeros(0, U)
+    order = np.argsort(grams)
+    return grams[order], (often["n"].to_numpy().astype(np.int64)[order] if len(often) else np.zeros(0, np.int64))
+
+
 def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of ``docs``, which needs doc_id and text.
 
@@ -237,6 +333,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
             yield at, texts[at:upto]
             at = upto
 
+    frequent = spark.sparkContext.broadcast(frequent_shingles(rows, words))  # at most SMALL * FREQUENT n-grams
+
     def keyed(seed: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gathered, about, spoilt, seen = [], [], 0, {}
@@ -258,7 +356,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
                             if same == one:
                                 fresh.append(k)
                         about.append((one or 0, len(s), same or 0, one is not None))
-                    owner, key, bad = keys([sets[k] for k in fresh], seed, percent)
+                    owner, key, bad = keys([sets[k] for k in fresh], seed, percent, frequent.value)
                     spoilt += len(bad)
                     found = np.empty(len(key), KEY)
                     mine = np.array([ids[at + k] for k in fresh], np.int64)
@@ -301,17 +399,20 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         return run
 
     about = written(met.filter(F.col("kind") == INFO).mapInArrow(opened(ABOUT, ["doc", "n", "same", "id"]), "doc long, n long, same long, id long"), "about")
-    keyed_rows = met.filter(F.col("kind") == REPEATED).mapInArrow(opened(KEY, ["core", "doc"]), "core long, doc long")
+    repeated = met.filter(F.col("kind") == REPEATED)
+    keyed_rows = repeated.mapInArrow(opened(KEY, ["core", "doc"]), "core long, doc long")
     order = F.struct(F.xxhash64("doc").alias("h"), F.col("doc").alias("pivot"))
-    pivot = keyed_rows.groupBy("core").agg(F.min(order).getField("pivot").alias("pivot")).withColumnRenamed("core", "of")
-    region = written(keyed_rows.join(pivot, F.col("core") == F.col("of")).select("pivot", "doc").filter("pivot != doc").distinct(), "regions")
+    pivot = keyed_rows.groupBy("core").agg(F.min(order).getField("pivot").alias("pivot"), F.count("*").alias("rows")).withColumnRenamed("core", "of")
+    region = spread_join(keyed_rows, "core", pivot, "of", "rows", repeated.agg(F.sum("rows")).first()[0] or 0).select("pivot", "doc").filter("pivot != doc")
+    region = written(region.distinct(), "regions")
 
     discard(met)
 
     # how many parts a region has
     size = region.groupBy("pivot").agg(F.count("*").alias("members")).withColumnRenamed("pivot", "of")
     split = F.ceil(F.col("members") / MEMBERS).cast("int")
-    member = region.join(size, F.col("pivot") == F.col("of")).select("pivot", "doc", split.alias("split"), F.pmod(F.xxhash64("doc", "pivot"), split.cast("long")).cast("int").alias("part"), F.lit(0).alias("pivotal"))
+    parted = spread_join(region, "pivot", size.withColumn("rows", F.col("members")), "of", "rows", region.count())
+    member = parted.select("pivot", "doc", split.alias("split"), F.pmod(F.xxhash64("doc", "pivot"), split.cast("long")).cast("int").alias("part"), F.lit(0).alias("pivotal"))
     itself = size.select(F.col("of").alias("pivot"), F.col("of").alias("doc"), split.alias("split"), F.explode(F.sequence(F.lit(0), split - 1)).alias("part"), F.lit(1).alias("pivotal"))
     placed = written(member.unionByName(itself), "members")
     discard(region)
@@ -347,7 +448,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
             members = [unpacked_set(r[1]) for r in rows_]
             asking = np.array([r[3] for r in rows_], bool)
             if asking.any():
-                links, _ = linked(members, ids, percent, (asking, ~asking))
+                links, _ = linked(members, ids, percent, asking)
                 stray: list[int] = []
             else:
                 links, group = linked(members, ids, percent)
@@ -381,7 +482,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         whole = placed.filter("pivotal = 1").groupBy("pivot").agg(F.max("split").alias("split")).withColumnRenamed("pivot", "p")
         asks = stray.join(turns, F.col("pivot") == F.col("of")).join(whole, F.col("pivot") == F.col("p"))
         asks = asks.select("pivot", "doc", "split", F.lit(0).alias("pivotal"), F.pmod(F.xxhash64("doc"), F.col("turns").cast("long")).cast("int").alias("turn"), F.explode(F.sequence(F.lit(0), F.col("split") - 1)).alias("in"), F.lit(True).alias("query"))
-        again = all_.unionByName(asks).withColumn("part", F.col("turn") * 100_000 + F.col("in"))
+        again = all_.unionByName(asks).withColumn("part", F.col("turn").cast("long") * (1 << 32) + F.col("in"))
         links = links.unionByName(written(compare(again), "stray").filter("b IS NOT NULL").select("a", "b"))
     links = links.unionByName(about.filter("id = 1 AND same != doc").select(F.col("doc").alias("a"), F.col("same").alias("b")))
     found = components(links)
