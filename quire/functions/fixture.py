@@ -59,3 +59,13 @@ PLACED = [(-4, 0, 0, 50.0, 40.0, 70.0, 70.0, 30.0, "B"), (-4, 0, 1, 72.0, 40.0,
 PLACED += [(-4, 1, 10 + k, 10.0, 40.0 + 20 * k, 25.0, 50.0 + 20 * k, 8.0, str(5 * k + 5)) for k in range(10)] + [(-4, 1, 30 + k, 50.0, 40.0 + 20 * k, 290.0, 50.0 + 20 * k, 10.0, f"line of a manuscript that has the number {5 * k + 5}") for k in range(10)]
 #: (doc_id, page, line_ix, char_ix, c, x0, y0, x1, y1, size): a raised and a lowered number.
 CHARACTERS = [(-5, 0, 0, k, c, 10.0 + 6 * k, y, 16.0 + 6 * k, y + h, h) for k, (c, y, h) in enumerate([("k", 20.0, 10.0), ("m", 20.0, 10.0), ("2", 18.0, 6.0), (" ", 20.0, 10.0), ("H", 20.0, 10.0), ("2", 26.0, 6.0), ("O", 20.0, 10.0)])]
+
+#: Formulas in LaTeX, one of them beyond what is read.
+FORMULAS = [(r"\frac{a}{2} + x_i^2 = \sqrt{b}",), (r"v \leq 3.5 \times 10^{4}",), (r"\sum_{k} \alpha_k",), (r"\begin{array}x\end{array}",), (r"{a",)]
+#: Japanese texts, and how often each is repeated: clean ones, and such as recognition misreads.
+JAPANESE = [("港の船は朝に出て、夕方にもどる。パンを焼く人がいる。", 60), ("ヨッ卜の帆は風ヒ力を受ける。船Lの人は海Il図を見る。", 80), ("データ一覧と「A案」", 3)]
+#: (doc_id, node_ix, kind, level, spans of (text, strong)): headings that paragraphs have swallowed.
+STYLED = [
+    (1, 0, "paragraph", 0, [("Harbour Institute of Bread", True)]), (1, 1, "heading", 2, [("Ovens", False)]), (1, 2, "paragraph", 0, [("Old Fires and New", True)]), (1, 3, "paragraph", 0, [("Fires are lit at four. See Figure 2. ", False), ("2.1 The Second Loaf", True)]),
+    (1, 4, "paragraph", 0, [("3.1 ", True), ("The Third Loaf", True)]), (1, 5, "item", 0, [("3. flour", False)]), (1, 6, "paragraph", 0, [("4. Salt and Water", True)]), (1, 7, "paragraph", 0, [("It is ", False), ("never", True), (" late.", False)]), (1, 8, "paragraph", 0, [("The End of It,", True)]), (1, 9, "paragraph", 0, []),
+]

@@ -177,7 +177,7 @@ def swallowed_headings(nodes: DataFrame) -> DataFrame:
     tail = (F.col("kind") == "paragraph") & (F.col("_weak") >= 0) & (F.col("_head") != "") & tail_depth.isNotNull() & column(rules.title_like, "_head") & F.col("_rest").rlike("[.。．)）]$")
     part = lambda n, kind, level, t: F.struct(F.lit(n).alias("part"), kind.alias("kind"), level.cast("int").alias("level"), t.alias("text"))
     heading, paragraph = F.lit("heading"), F.lit("paragraph")
-    parts = F.when(whole, F.array(part(0, heading, F.coalesce(F.least(depth + 1, F.lit(6)), F.lit(4)), F.col("text")))).when(tail, F.array(part(0, paragraph, F.lit(0), F.col("_rest")), part(1, heading, F.least(tail_depth + 1, F.lit(6)), F.col("_head")))).otherwise(F.array(part(0, F.col("kind"), F.col("level"), F.col("text"))))
+    parts = F.when(whole, F.array(part(0, heading, F.when(depth.isNotNull(), F.least(depth + 1, F.lit(6))).otherwise(4), F.col("text")))).when(tail, F.array(part(0, paragraph, F.lit(0), F.col("_rest")), part(1, heading, F.least(tail_depth + 1, F.lit(6)), F.col("_head")))).otherwise(F.array(part(0, F.col("kind"), F.col("level"), F.col("text"))))
     return rows.select("doc_id", "node_ix", F.inline(parts))
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quire.plans import operators, pages, records, rules
+from quire.plans import layouts, operators, pages, records, rules
 
-QUERIES = operators.QUERIES | pages.QUERIES | records.QUERIES | rules.QUERIES
-ORACLE_SQL: dict[str, str] = operators.ORACLE_SQL | pages.ORACLE_SQL | records.ORACLE_SQL | rules.ORACLE_SQL
+QUERIES = operators.QUERIES | pages.QUERIES | records.QUERIES | layouts.QUERIES | rules.QUERIES
+ORACLE_SQL: dict[str, str] = operators.ORACLE_SQL | pages.ORACLE_SQL | records.ORACLE_SQL | layouts.ORACLE_SQL | rules.ORACLE_SQL
 FLAGSHIP = "repeated_lines"

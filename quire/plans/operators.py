@@ -210,7 +210,10 @@ def context_prefix(spark, sf_dir):
     return sequence.context_prefix(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], "text").select("conv_id", "turn", "text")
 
 
-@query()
+@query(f"""WITH RECURSIVE t AS (SELECT conv_id, turn, octet_length(encode(text)) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+ r AS (SELECT conv_id, turn, k, n AS size, 1 AS items, 0 AS batch FROM t WHERE k = 1 UNION ALL SELECT t.conv_id, t.turn, t.k, CASE WHEN full_ THEN t.n ELSE r.size + t.n END, CASE WHEN full_ THEN 1 ELSE r.items + 1 END, CASE WHEN full_ THEN r.batch + 1 ELSE r.batch END
+  FROM (SELECT r.*, t.n AS m, r.size + t.n > CASE WHEN r.batch = 0 THEN 300 ELSE 900 END OR r.items >= 80 AS full_ FROM r JOIN t ON t.conv_id = r.conv_id AND t.k = r.k + 1) r JOIN t ON t.conv_id = r.conv_id AND t.k = r.k + 1)
+ SELECT conv_id, turn, batch FROM r""")
 def batch_pack(spark, sf_dir):
     return sequence.pack_batches(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", first=300, later=900)
 
@@ -487,17 +490,27 @@ def table_cells(spark, sf_dir):
     return docs.select("doc_id", nodes.table_cells(F.col("rows")).alias("cells")).filter("cells IS NOT NULL").withColumn("markdown", nodes.pipe_table(F.col("cells")))
 
 
-@query()
+ENTRIES = f"""WITH l AS (SELECT *, {rules.is_refs_heading(DUCK, 'line')} AS opens, ({rules.section_word(DUCK, 'line')} OR {rules.is_closing_heading(DUCK, 'line')}) AND length(line) < 100 AS closes FROM {L}),
+ i AS (SELECT *, last_value(CASE WHEN opens THEN 1 WHEN closes THEN 0 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_ix ROWS UNBOUNDED PRECEDING) AS state FROM l),
+ e AS (SELECT doc_id, line_ix, line, {rules.lead(DUCK, 'line')} AS lead, {rules.marker(DUCK, 'line')} AS number, lag(line) OVER (PARTITION BY doc_id ORDER BY line_ix) AS before FROM i WHERE state = 1 AND NOT opens AND trim(line) <> ''),
+ s AS (SELECT *, coalesce({rules.entry_end(DUCK, 'before')}, 2) AS ended FROM e),
+ n AS (SELECT *, sum(CASE WHEN number IS NOT NULL OR (lead = 'strong' AND ended >= 1) OR (lead = 'weak' AND ended >= 2) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_ix ROWS UNBOUNDED PRECEDING) AS entry_ix FROM s),
+ g AS (SELECT doc_id, cast(entry_ix AS BIGINT) AS entry_ix, min(line_ix) AS first_line, count(*) AS n_lines, string_agg(line, ' ' ORDER BY line_ix) AS text, list(number ORDER BY line_ix)[1] AS number FROM n GROUP BY doc_id, entry_ix)"""
+
+
+@query(f"""{ENTRIES} SELECT doc_id, entry_ix, number, first_line, n_lines, text FROM g""")
 def reference_entries(spark, sf_dir):
     return references.entries(lines(spark, sf_dir))
 
 
-@query()
+@query(f"""{ENTRIES}, d AS (SELECT *, {rules.has_year(DUCK, 'text')} AS dated, number = lag(number) OVER (PARTITION BY doc_id ORDER BY entry_ix) + 1 AS nxt FROM g),
+ a AS (SELECT doc_id, count(*) AS entries, count(*) FILTER (WHERE dated) AS dated, count(*) FILTER (WHERE nxt) AS numbered FROM d GROUP BY doc_id) SELECT *, entries >= 3 AND greatest(dated, numbered) * 2 >= entries AS accepted FROM a""")
 def reference_lists(spark, sf_dir):
     return references.accepted(references.entries(lines(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH r AS (SELECT doc_id, line_ix, regexp_replace(line, '(\\s*[.·…‧∙•_]){{3,}}\\s*', ' ', 'g') AS row FROM {L}), p AS (SELECT *, {rules.trailing_pages(DUCK, 'row')} AS pages, {rules.first_page(DUCK, 'row')} AS page FROM r)
+ SELECT doc_id, line_ix, trim(left(row, length(regexp_replace(row, '[,;\\s]+$', '')) - length(pages))) AS title, page FROM p WHERE pages IS NOT NULL""")
 def contents_rows(spark, sf_dir):
     return references.contents_rows(lines(spark, sf_dir))
 

@@ -42,8 +42,10 @@ def test_matches(spark, sf, duck, name):
 
 
 @pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in catalog.ORACLE_SQL])
-def test_runs(spark, sf, name):
-    catalog.QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
+def test_gives_rows(spark, sf, name):
+    """What these rows are is told in test_operators.py and test_pages.py."""
+    found = catalog.QUERIES[name](spark, sf).toPandas()
+    assert len(found) and found.notna().any(axis=0).sum() >= len(found.columns) - 1
 
 
 def test_entry(spark):
