@@ -31,7 +31,7 @@ LINES = [
     "www.harbour.example/list_", "at doi.org/10.5-", "http://s.t/ u", "look at www . oven . example for more", "http://m.n /o p q", "file://www.harbour.example/tides", "file:///D:/rye.txt", "file:tide.example/now", "an inland place",
     # markup
     "<i>loud & \"soft\"</i>", "c * d _ e `f` \\ g", "[bread](knife) and <crumb> < 5", "# oven", "> echo", "| dough |", "* star", "-7", "***", "-----", "5. loaf", "7.5", "9876543210. y", "- dash", "42) z", "6)", "~ wave", "+7",
-    "a caption that will not come to its end before it has named every kind of bread that was ever baked along that long coast, yes", "[q] \"r\" s", "Harbour (old)#2?", "\u00a0hard\u2009thin\u202fspace", "no\u200bjoin\ufeff", "fla\u00adky", "ring\u0007ring\ttab", "\ufffd\ue001", "b\ufffd",
+    "a caption that will not come to its end before it has named every kind of bread that was ever baked along that long coast, yes", "[q] \"r\" s", "Harbour (old)#2?", "\u00a0hard\u2009thin\u202fspace", "no\u200bjoin\ufeff", "fla\u00adky", "ring\u0007ring\ttab", "\ufffd\ue001", "b\ufffd", "The Harbour Bakers and Their Quarterly Review", "The Harbour Bakers and Their Quarterly Reviews", "The Harbour Baker and Their Quarterly Review",
     # Japanese and mixed
     "音 楽 と 船", "音楽, 船. 港", "これは文であり、点がある。", "漢字仮名混在長文句読点無", "パン and butter in English", "B号船とその帆", "1923年の航海", "C3船", "Δεζ = y", "p ≥ q", "Our our our boat", "Row Row Row boat", "row row row", "2 2 2",
     # formulas, versions, addresses here
@@ -53,7 +53,7 @@ HEADINGS = [(1, 0, "I．帆"), (1, 3, "．船体"), (1, 5, ".  港と町"), (1,
 
 #: A document with a list of references, and one with a table.
 REFERENCES = ["Bread is old.", "References", "Barrow, G., 1996. On ovens and their heat.", "Quarterly of Bread 7, 101-118.", "Duarte, I., Berg, O., 2003. Masts of pine. Sails 12, 4-19.", "Lindt, K., 1988. On rye. Harbour Press, Riga.", "Marsh, P.Q., Reyes, D., 2011. Tuning by ear and by", "hand. Annals of Music 3, 55-71.", "[5] Novak, C., 2016. The fifth loaf. Crusts 1, 1-2.", "Appendix A", "After the list."]
-TABLE = ["loaf | flour | hours", "rye | 500 | 12", "wheat | 450 | 3", "spelt | 480", "A line without bars"]
+TABLE = ["loaf | flour | hours", "rye | 500 | 12", "wheat | 450 | 3", "spelt | 480", "A line without bars", "1. Flour goes in first", "2. Water goes in second", "3. Salt goes in third"]
 #: (doc_id, page, line_ix, x0, y0, x1, y1, size, text): a large initial, a section number apart from its title, a formula in two pieces, and a margin of line numbers.
 PLACED = [(-4, 0, 0, 50.0, 40.0, 70.0, 70.0, 30.0, "B"), (-4, 0, 1, 72.0, 40.0, 250.0, 50.0, 10.0, "read rises slowly in the cold"), (-4, 0, 2, 72.0, 55.0, 250.0, 65.0, 10.0, "of the morning and is baked"), (-4, 0, 3, 50.0, 100.0, 65.0, 110.0, 10.0, "4.2"), (-4, 0, 4, 75.0, 100.0, 160.0, 110.0, 10.0, "Ovens and fires"), (-4, 0, 5, 50.0, 150.0, 200.0, 160.0, 10.0, "p + q ="), (-4, 0, 6, 50.0, 162.0, 200.0, 172.0, 10.0, "r + s (4)"), (-4, 0, 7, 50.0, 200.0, 200.0, 210.0, 10.0, "and the rest of it follows"), (-4, 0, 90, 50.0, 5.0, 150.0, 15.0, 8.0, "Annals of Bread 7"), (-4, 1, 90, 50.0, 5.0, 150.0, 15.0, 8.0, "Annals of Bread 8")]
 PLACED += [(-4, 1, 10 + k, 10.0, 40.0 + 20 * k, 25.0, 50.0 + 20 * k, 8.0, str(5 * k + 5)) for k in range(10)] + [(-4, 1, 30 + k, 50.0, 40.0 + 20 * k, 290.0, 50.0 + 20 * k, 10.0, f"line of a manuscript that has the number {5 * k + 5}") for k in range(10)]

@@ -245,14 +245,14 @@ def keep_hyphen(spark, sf_dir):
 # --- similarity
 
 
-HEADS = f"(SELECT DISTINCT {rules.compact_text(DUCK, 'text')} AS key FROM {LAYOUT} WHERE y1 < 400 * 0.15 OR y0 > 400 * 0.85)"
+HEADS = f"""(SELECT DISTINCT {rules.compact_text(DUCK, 'text')} AS key FROM (SELECT regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS text FROM pages UNION ALL SELECT line FROM {L} WHERE doc_id < 0))"""
 
 
 @query(f"""WITH g AS (SELECT key, {rules.bigrams(DUCK, 'key')} AS g FROM {HEADS}), h AS (SELECT * FROM g WHERE len(g) >= 5)
  SELECT x.key AS a, y.key AS b FROM h x JOIN h y ON x.key < y.key AND least(len(x.g), len(y.g)) * 100 >= greatest(len(x.g), len(y.g)) * 85 WHERE len(list_intersect(x.g, y.g)) * 10 >= greatest(len(x.g), len(y.g)) * 8""")
 def bigram_similar_lines(spark, sf_dir):
-    """The heads and feet of all pages, whole."""
-    heads = layout(spark, sf_dir).filter("y1 < 400 * 0.15 OR y0 > 400 * 0.85")
+    """The headings of all pages, and the hand-made lines."""
+    heads = table(spark, sf_dir, "pages").select(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("text")).unionByName(lines(spark, sf_dir).filter("doc_id < 0").select(F.col("line").alias("text")))
     return similarity.similar_lines(heads.select(column(rules.compact_text, "text").alias("key")).distinct())
 
 

@@ -304,8 +304,9 @@ def continued_headings(spark, sf_dir):
 MARGIN = f"(SELECT * FROM {LAYOUT} UNION ALL SELECT doc_id, page, 200000 + line_ix, 10.0, y0, 25.0, y1, 8.0, (line_ix * 5)::VARCHAR FROM {LAYOUT} WHERE line_ix % 2 = 0 AND doc_id % 2 = 0)"
 
 
-@query(f"""WITH n AS (SELECT *, {rules.bare_number(DUCK, 'text')} AS num FROM {MARGIN}), c AS (SELECT doc_id, page, count(*) FILTER (WHERE num AND line_ix >= 200000) AS k, count(*) FILTER (WHERE NOT num) AS a, count(*) FILTER (WHERE NOT num AND x0 < 24) AS l FROM n GROUP BY ALL)
- SELECT doc_id, page, line_ix FROM n JOIN c USING (doc_id, page) WHERE NOT (line_ix >= 200000 AND k >= 8 AND l * 10 <= a)""")
+@query(f"""WITH n AS (SELECT *, {rules.bare_number(DUCK, 'text')} AS num FROM {MARGIN}), c AS (SELECT doc_id, page, x1 AS edge, min(x0) AS l FROM n WHERE num GROUP BY ALL HAVING count(*) >= 8),
+ m AS (SELECT c.doc_id, c.page, c.edge FROM c LEFT JOIN n o ON o.doc_id = c.doc_id AND o.page = c.page AND NOT o.num GROUP BY c.doc_id, c.page, c.edge, c.l HAVING count(*) FILTER (WHERE o.x0 < edge - 1) * 10 <= count(o.x0) OR count(*) FILTER (WHERE o.x1 > c.l + 1) * 10 <= count(o.x0))
+ SELECT doc_id, page, line_ix FROM n WHERE NOT (num AND EXISTS (SELECT 1 FROM m WHERE m.doc_id = n.doc_id AND m.page = n.page AND m.edge = n.x1))""")
 def without_line_numbers(spark, sf_dir):
     rows = layout(spark, sf_dir)
     numbers = rows.filter("line_ix % 2 = 0 AND doc_id % 2 = 0").select("doc_id", "page", (F.col("line_ix") + 200000).alias("line_ix"), F.lit(10.0).alias("x0"), "y0", F.lit(25.0).alias("x1"), "y1", F.lit(8.0).alias("size"), (F.col("line_ix") * 5).cast("string").alias("text"))
