@@ -34,8 +34,8 @@ WORDS, PERCENT = 4, 85
 SMALL = 64
 #: Members of a region, or of a part of it, that one task compares.
 MEMBERS = 4096
-#: Pivots that cut a region or a cell, and members of a cell that are compared without a further cut.
-PIVOTS, CELL = 8, 64
+#: Pivots that cut a region or a cell, members of a cell that are compared without a further cut, and shingles that are looked at together.
+PIVOTS, CELL, LOAD = 8, 64, 1 << 19
 #: Rows of (document, region) up to which they are handed to all tasks, some 60 bytes each, rather than the sets dealt out by document first.
 HANDED = 250_000
 #: Documents that the frequent n-grams are looked for in, and the share of these (one in so many) that makes an n-gram frequent.
@@ -43,7 +43,7 @@ SAMPLE, FREQUENT = 20_000, 200
 #: Bits of the map of members that all tasks get (packed, 4 MB), whatever the number of documents.
 BITS = 1 << 25
 #: Bytes that are hashed at once, and pairs that a task gathers before it sends them.
-AT_ONCE, GATHERED = 1 << 21, 1 << 20
+AT_ONCE, GATHERED = 1 << 19, 1 << 20
 INFO, SPOILT = 10, 11
 
 _random = np.random.default_rng(91)
@@ -168,15 +168,22 @@ def linked(members: list[np.ndarray], ids: np.ndarray, percent: int = PERCENT, a
     """
     n = np.array([len(s) for s in members], np.int64)
     group, out = np.arange(len(members)), []
-    flat, start = np.concatenate(members), np.cumsum(n) - n
     near = (100 - percent) / 100 + 1e-9
 
+    def loads(which: np.ndarray) -> Iterator[np.ndarray]:
+        """Members whose shingles are so many together, so that memory does not follow the cell."""
+        cuts = np.flatnonzero(np.diff((np.cumsum(n[which]) - 1) // LOAD)) + 1
+        yield from np.split(which, cuts)
+
     def shared(i: int, others: np.ndarray) -> np.ndarray:
         """Shingles in common with each of the others."""
-        size = n[others]
-        at = np.repeat(start[others] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        place = np.minimum(np.searchsorted(members[i], flat[at]), n[i] - 1)
-        return np.add.reduceat((members[i][place] == flat[at]).astype(np.int64), np.cumsum(size) - size)
+        found = []
+        for load in loads(others):
+            values = np.concatenate([members[j] for j in load.tolist()])
+            place = np.searchsorted(members[i], values)
+            np.minimum(place, n[i] - 1, out=place)
+            found.append(np.add.reduceat(members[i][place] == values, np.cumsum(n[load]) - n[load], dtype=np.int64))
+        return np.concatenate(found)
 
     def link(i: int, others: np.ndarray, common: np.ndarray) -> None:
         for j in others[100 * common >= percent * (n[others] + n[i] - common)].tolist():
@@ -189,22 +196,22 @@ def linked(members: list[np.ndarray], ids: np.ndarray, percent: int = PERCENT, a
 
     def meeting(which: np.ndarray) -> Callable[[int], np.ndarray]:
         """For a cell, the members (places in ``which``) that share one of a member's rarest shingles with it, so many that linked sets share one."""
-        size = n[which]
-        first = np.cumsum(size) - size
-        at = np.repeat(start[which] - first, size) + np.arange(size.sum())
-        owner = np.repeat(np.arange(len(which)), size)
-        _, name, times = np.unique(flat[at], return_inverse=True, return_counts=True)
-        order = np.lexsort((name, times[name], owner))
-        rare = np.arange(len(order)) - first[owner] < (size + (-percent * size // 100) + 1)[owner]  # owner is sorted already
-        rare &= times[name[order]] > 1
-        name, owner = name[order][rare], owner[rare]
-        upto = np.searchsorted(owner, np.arange(len(which) + 1))
-        by_name = np.argsort(name, kind="stable")
-        members_of, begin = owner[by_name], np.searchsorted(name[by_name], np.arange(len(times) + 1))
+        counted = [np.unique(np.concatenate([members[j] for j in load.tolist()]), return_counts=True) for load in loads(which)]
+        name, at = np.unique(np.concatenate([v for v, _ in counted]), return_inverse=True)
+        times = np.bincount(at, np.concatenate([c for _, c in counted]), len(name)).astype(np.int64)
+        del counted, at
+        rarest = []
+        for i in which.tolist():
+            mine = np.searchsorted(name, members[i])
+            mine = mine[np.lexsort((mine, times[mine]))[: n[i] - -(-percent * n[i] // 100) + 1]]
+            rarest.append(mine[times[mine] > 1])
+        owner = np.repeat(np.arange(len(which)), [len(x) for x in rarest])
+        every = np.concatenate(rarest)
+        by_name = np.argsort(every, kind="stable")
+        members_of, begin = owner[by_name], np.searchsorted(every[by_name], np.arange(len(name) + 1))
 
         def of(k: int) -> np.ndarray:
-            mine = name[upto[k] : upto[k + 1]]
-            return np.unique(np.concatenate([members_of[:0], *(members_of[begin[x] : begin[x + 1]] for x in mine.tolist())]))
+            return np.unique(np.concatenate([members_of[:0], *(members_of[begin[x] : begin[x + 1]] for x in rarest[k].tolist())]))
 
         return of
 
