@@ -26,7 +26,7 @@ LINES = [
     # contents and index rows
     "The Long Voyage . . . 88", "fugue, 31, 40-42", "spars 9b,", "xiv", "see sails", "flour 21 22", "Rowing 77t", "88", "ix", "vivid", "DCC", "XIX", "VIIII", "Masts and yards ........ 101", "rye bread, 5, 17-19, 60",
     # numbers, broken words
-    "2,468.0", "31 ± 4", "7.25e2", "n/a", "(8)", "9 × 104", "cr•st", "B12", "f1our", "baQer", "1oaf", "fine.word", "unwr,itten", "MacDonald", "xyZ", "kn¢ad",
+    "2,468.0", "31 ± 4", "7.25e2", "n/a", "(8)", "9 × 104", "some 3 × 10-12 of 40 km2, or 7 m3 and 9 m22", "cr•st", "B12", "f1our", "baQer", "1oaf", "fine.word", "unwr,itten", "MacDonald", "xyZ", "kn¢ad",
     # addresses
     "www.harbour.example/list_", "at doi.org/10.5-", "http://s.t/ u", "look at www . oven . example for more", "http://m.n /o p q", "file://www.harbour.example/tides", "file:///D:/rye.txt", "file:tide.example/now", "an inland place",
     # markup

@@ -6,13 +6,17 @@ from pyspark.sql import functions as F
 
 from quire.functions import markup
 from quire.functions import text as rules
+from quire.functions import unicode as uni
 from quire.functions.dialect import DUCK
 from quire.functions.fixture import CHARACTERS, FORMULAS, JAPANESE, STYLED
+from quire.operators import chars, engines, models, structure, units
 from quire.operators import layout as pages
-from quire.operators import models, units
+from quire.plans import records as records_plan
 from quire.plans.operators import LAYOUT, layout, table
 from quire.plans.pages import made_chars
+from quire.plans.records import values
 from quire.plans.rules import LINES_SQL, lines
+from quire.sources import files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -160,3 +164,60 @@ def utf16_lines(spark, sf_dir):
 def document_info(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.col("n_chars").alias("chars"), F.size(F.split("text", "\n")).alias("lines"), F.regexp_count("text", F.lit(r"[^ \t\n\r\f\x0B]+")).alias("words"), "lang", "source")
+
+
+TREE = [(1, 1, None, "Ships"), (1, 2, 1, "Sails"), (1, 3, 2, "Jib"), (1, 4, 1, "Masts"), (2, 1, None, "Bread"), (2, 5, 1, "Rye"), (2, 6, 5, "Crust"), (2, 7, 6, "Colour")]
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT * FROM {values(TREE, 'doc_id, id, parent, title')}), r AS (SELECT doc_id, id, 0 AS depth, [title] AS path FROM t WHERE parent IS NULL UNION ALL SELECT t.doc_id, t.id, r.depth + 1, list_append(r.path, t.title) FROM r JOIN t ON t.doc_id = r.doc_id AND t.parent = r.id)
+ SELECT doc_id, id, depth, array_to_string(path, ' / ') AS path FROM r""")
+def flat_outline(spark, sf_dir):
+    tree = spark.createDataFrame(TREE, "doc_id long, id int, parent int, title string")
+    return structure.flattened(tree).withColumn("path", F.array_join("path", " / "))
+
+
+@query(f"""WITH p AS (SELECT DISTINCT doc_id, page FROM {LAYOUT}), n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY page) - 1 AS k FROM p)
+ SELECT doc_id, page FROM n WHERE n <= 3 OR (k * 3) // n <> CASE WHEN k = 0 THEN -1 ELSE ((k - 1) * 3) // n END""")
+def spread_pages(spark, sf_dir):
+    return structure.spread_pages(layout(spark, sf_dir).select("doc_id", "page").distinct(), most=3)
+
+
+@query(f"SELECT doc_id, page, CASE WHEN reason IS NOT NULL THEN 'take' ELSE 'skip' END AS needed, CASE WHEN reason IS NOT NULL THEN 'take' WHEN scanned_text THEN 'force' ELSE 'skip' END AS scans, CASE WHEN reason IS NOT NULL THEN 'take' ELSE 'force' END AS everything FROM ({records_plan.ORACLE_SQL['page_flags']})")
+def ocr_scopes(spark, sf_dir):
+    flags = records_plan.page_flags(spark, sf_dir)
+    wanted = lambda scope: engines.ocr_wanted(scope, F.col("reason").isNotNull(), F.col("scanned_text"))
+    return flags.select("doc_id", "page", wanted("needed").alias("needed"), wanted("scans").alias("scans"), wanted("all").alias("everything"))
+
+
+@query(f"""SELECT doc_id, line_ix, made FROM (SELECT doc_id, line_ix, line, regexp_replace(regexp_replace(line, '(×\\s?10)([-−]?[0-9]{{1,2}})($|[^0-9])', '\\1^{{\\2}}\\3', 'g'), '([0-9]\\s?)(km|cm|mm|m)([23])($|[^0-9A-Za-z])', '\\1\\2^{{\\3}}\\4', 'g') AS made FROM ({LINES_SQL})) WHERE made <> line""")
+def raised_exponents(spark, sf_dir):
+    return lines(spark, sf_dir).select("doc_id", "line_ix", "line", chars.ocr_superscripts("line").alias("made")).filter("made != line").select("doc_id", "line_ix", "made")
+
+
+@query(f"""WITH o AS (SELECT *, (y1 - y0) * CASE WHEN len(regexp_extract_all(text, '[A-Za-z]')) * 2 > length(text) THEN 0.78 ELSE 0.85 END AS own FROM {LAYOUT}), m AS (SELECT doc_id, page, line_ix // 8 AS block, list_sort(list(own))[count(*) // 2 + 1] AS med FROM o GROUP BY ALL)
+ SELECT o.doc_id, o.page, o.line_ix, CASE WHEN own BETWEEN med * 0.7 AND med * 1.35 THEN med ELSE own END AS size FROM o JOIN m ON o.doc_id = m.doc_id AND o.page = m.page AND o.line_ix // 8 = m.block""")
+def recognised_sizes(spark, sf_dir):
+    rows = layout(spark, sf_dir).drop("size").withColumn("block", F.floor(F.col("line_ix") / 8))
+    return chars.line_sizes(rows).select("doc_id", "page", "line_ix", "size")
+
+
+@query(f"""WITH p AS (SELECT doc_id, page, string_agg(text, ' ' ORDER BY line_ix) AS text, page % 2 = 1 AS unusable FROM {LAYOUT} GROUP BY ALL)
+ SELECT doc_id, page, md5(CASE WHEN page % 3 < 2 AND (page % 3 = 0 OR unusable) THEN 'read: ' || text ELSE text END) AS text_md5 FROM p""")
+def replaced_layers(spark, sf_dir):
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_ix", "text"))), lambda s: s["text"])
+    own = layout(spark, sf_dir).groupBy("doc_id", "page").agg(F.array_join(ordered, " ").alias("text")).withColumn("unusable", F.col("page") % 2 == 1)
+    read = own.filter("page % 3 < 2").select("doc_id", "page", F.concat(F.lit("read: "), "text").alias("text"), (F.col("page") % 3 == 0).alias("forced"))
+    return engines.replaced_layer(own, read).select("doc_id", "page", F.md5("text").alias("text_md5"))
+
+
+@query()
+def tidied_latex(spark, sf_dir):
+    return spark.createDataFrame(FORMULAS, "latex string").withColumn("tidy", uni.tidy_latex("latex"))
+
+
+@query()
+def bibliography(spark, sf_dir):
+    """The benchmark's items as BibTeX, read again."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[{}@,=\"\\\\]", " ").alias("t"))
+    entry = F.concat(F.lit("@misc{item"), "item_id", F.lit(", title = {"), F.trim("t"), F.lit("}, author = {Novak, C. and Ward, T.}, year = "), (1990 + F.col("item_id") % 30).cast("string"), F.lit("}"))
+    return files.read_bib(items.select(entry.alias("text"))).select("key", "title", "authors", "year")
