@@ -297,21 +297,19 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def frequent_shingles(rows: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(n-grams, sorted, how many documents of the sample have each) of those that are in more than one in FREQUENT of the short documents in a sample of some SAMPLE documents, by the hashes of their ids. They only set the order in which n-grams are looked at, which any choice keeps exact."""
-    share = min(1.0, SAMPLE / max(1, rows.count()))
+    """(n-grams, sorted, how many documents of the sample have each) of those that are in more than one in FREQUENT of a sample of some SAMPLE documents, by the hashes of their ids; only short documents' n-grams count. They only set the order in which n-grams are looked at, which any choice keeps exact."""
+    total = rows.count()
+    share = min(1.0, SAMPLE / max(1, total))
     some = rows.filter("doc_id IS NOT NULL").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s for s in shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), words) if len(s) < SMALL]
             found, times = np.unique(np.concatenate([np.zeros(0, U), *sets]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view("<i8")), pa.array(times), pa.array(np.where(np.arange(len(found)) == 0, len(sets), 0))], ["gram", "n", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view("<i8")), pa.array(times)], ["gram", "n"])
 
-    counts = some.mapInArrow(counted, "gram long, n long, docs long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    counts = written(counts, "grams-counted")
-    total = counts.agg(F.sum("docs")).first()[0] or 0
-    often = counts.filter(F.col("n") * FREQUENT > total).filter("n > 1").select("gram", "n").toPandas()  # SMALL * FREQUENT rows at most
-    discard(counts)
+    counts = some.mapInArrow(counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    often = counts.filter((F.col("n") * FREQUENT > min(total, SAMPLE)) & (F.col("n") > 1)).toPandas()  # SMALL * FREQUENT rows or so at most
     grams = often["gram"].to_numpy().astype(np.int64).view(U) if len(often) else np.zeros(0, U)
     order = np.argsort(grams)
     return grams[order], (often["n"].to_numpy().astype(np.int64)[order] if len(often) else np.zeros(0, np.int64))

@@ -108,10 +108,10 @@ def quality_rules(docs: DataFrame, host: str = "source", worst: float = WORST) -
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, host, shrunk_rate), a row for each row of ``docs``.
 
     Null and empty texts have no words and fail. A null host is a host of its own. ``kept`` is false where the text
-    fails by any rule or its host is rejected; ``shrunk_rate`` counts failures by any rule. Repeated rows count each; an empty table gives an empty result, and columns other
+    fails by any rule or its host is rejected; ``shrunk_rate`` counts failures by any rule and is rounded to six places. Repeated rows count each; an empty table gives an empty result, and columns other
     than doc_id, text and ``host`` are not looked at.
     """
     judged = written(measured(docs, host), "quality")
     verdicts = host_verdicts(judged, worst).withColumnsRenamed({"host": "of"})
     joined = judged.join(verdicts, judged["host"].eqNullSafe(verdicts["of"]))
-    return joined.select("doc_id", *COLUMNS, "base_failed", (~F.col("failed") & F.col("host_kept")).alias("kept"), "host", "shrunk_rate")
+    return joined.select("doc_id", *COLUMNS, "base_failed", (~F.col("failed") & F.col("host_kept")).alias("kept"), "host", F.round("shrunk_rate", 6).alias("shrunk_rate"))
