@@ -124,10 +124,11 @@ def vertical(lines: DataFrame) -> DataFrame:
 
 
 def flattened(tree: DataFrame) -> DataFrame:
-    """An outline (doc_id, id, parent, title) as (doc_id, id, depth, path): level by level by joins, at most 64."""
+    """An outline (doc_id, id, parent, title) as (doc_id, id, depth, path): level by level by joins, as many levels as the largest outline has entries at most."""
+    most = tree.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0
     level = tree.filter("parent IS NULL").select("doc_id", "id", F.lit(0).alias("depth"), F.array("title").alias("path"))
     out = level
-    for depth in range(1, 64):
+    for depth in range(1, most):
         level = tree.join(level.select("doc_id", F.col("id").alias("parent"), F.col("path").alias("above")), ["doc_id", "parent"]).select("doc_id", "id", F.lit(depth).alias("depth"), F.concat("above", F.array("title")).alias("path"))
         if not level.limit(1).count():
             break
