@@ -187,6 +187,11 @@ def _marks(ids: np.ndarray, size: int) -> np.ndarray:
     return (mixed(ids.astype(np.int64).view(np.uint64) * A) & U(size - 1)).astype(np.int64)
 
 
+def _in_map(ids: pa.Array, bits: np.ndarray, size: int) -> np.ndarray:
+    at = _marks(np.array([NO_ID if i is None else i for i in ids.to_pylist()], np.int64), size)
+    return (bits[at >> 3] >> (at & 7)) & 1 == 1
+
+
 def marked(found: DataFrame, kind: np.dtype, size: int) -> np.ndarray:
     """The map of the documents in messages: maps of tasks, in parts of 4 kB, joined by a bitwise or."""
 
@@ -467,14 +472,13 @@ def suffix_dedup(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     whole = docs.select(bucket.alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*(F.col(f"`{c}`").alias(rest_name(k)) for k, c in enumerate(others)), F.lit(None).cast("int").alias("none")).alias("rest")) if with_kept else rows
 
-    def some(df: DataFrame, bits, rest: bool, wanted: bool = True) -> DataFrame:
-        """The documents that the map has (or those that it has not), their texts packed, so that a shuffle moves little."""
+    def some(df: DataFrame, bits, rest: bool) -> DataFrame:
+        """The documents that the map has, their texts packed, so that a shuffle moves little."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             zip_ = zstandard.ZstdCompressor(level=1).compress
             for batch in batches:
-                at = _marks(np.array([NO_ID if i is None else i for i in batch.column(1).to_pylist()], np.int64), map_bits)
-                part = batch.filter(pa.array(((bits.value[at >> 3] >> (at & 7)) & 1 == 1) == wanted))
+                part = batch.filter(pa.array(_in_map(batch.column(1), bits.value, map_bits)))
                 texts = pa.array([zip_(t) for t in part.column(2).cast(pa.binary()).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts, *part.columns[3:]], part.schema.names)
 
@@ -529,10 +533,15 @@ def suffix_dedup(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     cut = _cut(to_arrow_schema(whole.schema) if with_kept else None)
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Results of the documents that no settled row is about, straight from the scan."""
         for batch in batches:
-            if batch.num_rows:
-                yield from cut(pa.Table.from_batches([batch]), pa.table({"block": pa.array([], pa.binary())})).combine_chunks().to_batches()
+            part = batch.filter(pa.array(~_in_map(batch.column(1), bits.value, map_bits)))
+            if part.num_rows:
+                texts = part.column(2).cast(pa.binary()).to_pylist()
+                none = pa.array(np.zeros(len(texts), np.int64))
+                arrays = [part.column(1), pa.array([len(t) for t in texts], pa.int64()), none, none, pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(texts if with_kept else [None] * len(texts), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*arrays, *part.columns[3:]], [x.split()[0] for x in RESULT.split(", ")] + ["rest"] * with_kept)
 
     out = some(whole, bits, with_kept).groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(cut, schema)
-    out = out.unionByName(some(whole, bits, with_kept, wanted=False).mapInArrow(untouched, schema))
+    out = out.unionByName(whole.mapInArrow(untouched, schema))
     return out if with_kept else out.drop("kept")
