@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import ascii_lower, partitions, spread_join, text_or_empty, written
+from quire.llm.common import ascii_lower, partitions, released, spread_join, text_or_empty, written
 
 SLOTS, KICKS, FULL = 4, 200, 0.9
 #: Rows that a part of the index is for, at most on the mean; its entries lie in one worker's memory.
@@ -153,6 +153,7 @@ class DigestIndex:
 SCHEMA = "digest string, keep_id long, group_size long"
 
 
+@released
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(digest in hex, id, rows) -> the live entries of this part of the index."""
     index = DigestIndex()
@@ -165,6 +166,7 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[0].hex() for x in part], pa.string()), pa.array([x[1] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.int64())], ["digest", "keep_id", "group_size"])
 
 
+@released
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Equal digests of one task become one row."""
     met: dict[str, list] = {}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import discard, partitions, small_batches, spread_join, written
+from quire.llm.common import discard, partitions, released, small_batches, spread_join, written
 from quire.llm.suffix_dedup import MESSAGE, REPEATED, meet_by_core, messages, mixed, sifted, unpacked
 
 U = np.uint64
@@ -43,7 +43,7 @@ SAMPLE, FREQUENT = 20_000, 200
 #: Bits of the map of members that all tasks get (packed, 4 MB), whatever the number of documents.
 BITS = 1 << 25
 #: Bytes that are hashed at once, and pairs that a task gathers before it sends them.
-AT_ONCE, GATHERED = 1 << 19, 1 << 20
+AT_ONCE, GATHERED = 1 << 19, 1 << 19
 INFO, SPOILT = 10, 11
 
 _random = np.random.default_rng(91)
@@ -302,6 +302,7 @@ def frequent_shingles(rows: DataFrame, words: int = WORDS) -> tuple[np.ndarray,
     share = min(1.0, SAMPLE / max(1, total))
     some = rows.filter("doc_id IS NOT NULL").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
 
+    @released
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s for s in shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), words) if len(s) < SMALL]
@@ -341,6 +342,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     frequent = spark.sparkContext.broadcast(frequent_shingles(rows, words))  # at most SMALL * FREQUENT n-grams
 
     def keyed(seed: int):
+        @released
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gathered, about, spoilt, seen = [], [], 0, {}
 
@@ -376,6 +378,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
         return run
 
+    @released
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def hold() -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -396,6 +399,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         seed += 1  # some set had too few classes under this hash
 
     def opened(kind: np.dtype, columns: list[str]):
+        @released
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = unpacked(_ids(batch, 3), kind)
@@ -442,8 +446,9 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
             yield batch.filter(pa.array((bitmap.value[at >> 3] >> (at & 7)) & 1 == 1))
 
     near = rows.filter("doc_id IS NOT NULL").withColumn("at", place("doc_id"))
-    sets = written(near.mapInArrow(lambda batches: sets_of(members_only(batches)), "id long, set binary"), "sets")
+    sets = written(near.mapInArrow(released(lambda batches: sets_of(members_only(batches))), "id long, set binary"), "sets")
 
+    @released
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted (pivot, part, pivotal, doc, split, set, query) -> links (a, b), and with b null the members of split regions that aren't linked to the pivot."""
         rows_, now = [], None

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tiktoken._tiktoken import CoreBPE
 from tokenizers import Tokenizer
 
-from quire.llm.common import small_batches, written
+from quire.llm.common import released, small_batches, written
 
 LIMIT = 4096
 #: Pieces that one task packs at once.
@@ -101,6 +101,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def piece_rows(path: str, limit: int, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[list[tuple]]]:
     """A function from batches of (doc_id, text) to lists of (doc_id, piece, start, length, ids_crc32, ids)."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         encode, last = word_bpe(path).encode, np.array([end], "<u4").tobytes()
         for batch in batches:
@@ -118,6 +119,7 @@ def piece_rows(path: str, limit: int, end: int) -> Callable[[Iterator[pa.RecordB
 def tokenized(docs: DataFrame, path: str, limit: int = LIMIT, end: int = 1) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each text's tokens and then ``end``, cut at every ``limit`` tokens."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in piece_rows(path, limit, end)(batches):
             columns = list(zip(*rows, strict=True))[:5] or [()] * 5
@@ -264,6 +266,7 @@ PLACED = PIECES + ", sequence_id long, offset long, spare int"
 def _packer(limit: int, base: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Packs what the task holds. sequence_id: the round, the task and the bin; spare: tokens without use in the bin."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

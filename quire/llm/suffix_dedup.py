@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quire.llm.common import discard, partitions, small_batches, written
+from quire.llm.common import discard, partitions, released, small_batches, written
 
 #: The threshold in bytes; the length of the first sort; of a window's choices; windows that share what the third sort takes.
 LENGTH, GRAM, EIGHT = 100, 32, 8
@@ -195,6 +195,7 @@ def _in_map(ids: pa.Array, bits: np.ndarray, size: int) -> np.ndarray:
 def marked(found: DataFrame, kind: np.dtype, size: int) -> np.ndarray:
     """The map of the documents in messages: maps of tasks, in parts of 4 kB, joined by a bitwise or."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size, bool)
         for batch in batches:
@@ -245,6 +246,7 @@ def firsts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def meet_by_core(kind: np.dtype, parts: int = 1) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Candidates whose core has other rows are repeated; repeated rows pass through."""
 
+    @released
     def by_core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[int, list[bytes]] = {CANDIDATE: [], WITNESS: []}
         for batch in batches:
@@ -266,6 +268,7 @@ def meet_by_core(kind: np.dtype, parts: int = 1) -> Callable[[Iterator[pa.Record
 def meet_by_name(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of rows with the same name the first goes on, to meet by its core; the others are settled."""
 
+    @released
     def by_name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = []
         for batch in batches:
@@ -475,6 +478,7 @@ def suffix_dedup(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     def some(df: DataFrame, bits, rest: bool) -> DataFrame:
         """The documents that the map has, their texts packed, so that a shuffle moves little."""
 
+        @released
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             zip_ = zstandard.ZstdCompressor(level=1).compress
             for batch in batches:
@@ -485,6 +489,7 @@ def suffix_dedup(docs: DataFrame, with_kept: bool = False) -> DataFrame:
         extra = f", rest {whole.schema['rest'].dataType.simpleString()}" if rest else ""
         return df.mapInArrow(run, "bucket int, doc_id long, text binary" + extra)
 
+    @released
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: list[np.ndarray] = []
         for batch in batches:
@@ -532,6 +537,7 @@ def suffix_dedup(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     schema = RESULT + (f", rest {whole.schema['rest'].dataType.simpleString()}" if with_kept else "")
     cut = _cut(to_arrow_schema(whole.schema) if with_kept else None)
 
+    @released
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Results of the documents that no settled row is about, straight from the scan."""
         for batch in batches:

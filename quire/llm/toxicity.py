@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches, written
+from quire.llm.common import released, small_batches, written
 
 WORD = re.compile(r"\w+")
 STEMS = (4, 6, 8)
@@ -172,6 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     small_batches(docs.sparkSession)
     chosen = written(labelled(docs, labels, rows), "labelled")
 
+    @released
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, hit = Counter(), Counter()
 
@@ -207,6 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         model.rates[f] = min(0.9999, (table[f][1] + PRIOR * mean) / (table[f][0] + PRIOR))
     held = chosen.filter("part = 4").select("toxic", "text")
 
+    @released
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of clean texts: (score, how often, null) of words, and (best segment's score, words, 1) of each."""
         for batch in batches:
@@ -223,6 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     model.scale = scale_of(Counter({r.x: r.n for r in found if r.words is None}))
     model.k = k_of([(r.x, r.words) for r in found if r.words is not None for _ in range(r.texts)], model.scale)
 
+    @released
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cache: dict[str, float] = {}
@@ -246,6 +249,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(model)  # features that LEAST of FIT_ROWS texts have
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
         for batch in batches:
@@ -271,6 +275,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(model)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
         for batch in batches:
