@@ -85,16 +85,16 @@ def audit_measures(lines: DataFrame) -> DataFrame:
     order = W.partitionBy("doc_id").orderBy("line_ix")
     rows = lines.filter("trim(line) != ''").withColumns({"next": F.lead("line").over(order), "prev": F.lag("line").over(order)})
     next_low = F.col("next").rlike(r"^\p{Ll}")
-    return rows.groupBy("doc_id").agg(
-        F.count("*").alias("paras"),
-        F.sum(F.size(column(rules.words, "line"))).alias("words"),
-        F.sum(F.when(~column(rules.ends_sentence, "line") & next_low, 1).otherwise(0)).alias("cut_lower"),
-        F.sum(F.regexp_count("line", F.lit(r"\p{L}- \p{Ll}"))).alias("hyphen_left"),
-        F.sum(F.size(F.filter(column(rules.words, "line"), lambda x: F.length(x) > 30))).alias("long_tokens"),
-        F.sum(F.when(column(rules.caption_kind, "line").isNotNull(), 1).otherwise(0)).alias("caption_para"),
-        F.sum(F.when(F.length("line") < 40, 1).otherwise(0)).alias("short_paras"),
-        F.sum(F.when(F.col("line") == F.col("prev"), F.size(column(rules.words, "line"))).otherwise(0)).alias("dup"),
-    )
+    # what is measured, a number a line, worked out once before anything is added up
+    each = rows.select(
+        "doc_id", F.length("line").alias("chars"), column(rules.words, "line").alias("w"), (F.col("line") == F.col("prev")).alias("again"),
+        F.when(next_low, ~column(rules.ends_sentence, "line")).otherwise(F.lit(False)).alias("cut"),
+        F.regexp_count("line", F.lit(r"\p{L}- \p{Ll}")).alias("hyphens"), column(rules.caption_kind, "line").isNotNull().alias("caption"))
+    each = each.withColumns({"n": F.size("w"), "long": F.size(F.filter("w", lambda x: F.length(x) > 30))})
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return each.groupBy("doc_id").agg(
+        F.count("*").alias("paras"), F.sum("n").alias("words"), count(F.col("cut")).alias("cut_lower"), F.sum("hyphens").alias("hyphen_left"), F.sum("long").alias("long_tokens"),
+        count(F.col("caption")).alias("caption_para"), count(F.col("chars") < 40).alias("short_paras"), F.sum(F.when(F.col("again"), F.col("n")).otherwise(0)).alias("dup"))
 
 
 def audit_rates(measures: DataFrame) -> DataFrame:
