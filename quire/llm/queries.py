@@ -114,9 +114,9 @@ s AS (SELECT host, (k + mean * strength) / (n + strength) AS rate, least(0.7, me
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT failed AND rate <= most AS kept, f.host, round(rate, 6) AS shrunk_rate FROM f JOIN s ON f.host IS NOT DISTINCT FROM s.host""",
     "op4_suffix_dedup": r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-p AS (SELECT doc_id, unnest(range(length(h) // 2)) AS pos, length(h) // 2 AS n, h FROM d),
-s AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY substr(h, 2 * pos + 1, 200) ORDER BY doc_id, pos) > 1 AS again FROM p WHERE pos + 100 <= n),
-c AS (SELECT p.doc_id, p.pos, substr(p.h, 2 * p.pos + 1, 2) AS b, coalesce(p.pos - max(CASE WHEN s.again THEN s.pos END) OVER (PARTITION BY p.doc_id ORDER BY p.pos) < 100, false) AS gone FROM p LEFT JOIN s ON s.doc_id = p.doc_id AND s.pos = p.pos),
+p AS (SELECT doc_id, pos, substr(h, 2 * pos + 1, 200) AS g FROM (SELECT doc_id, h, unnest(range(length(h) // 2)) AS pos FROM d)),
+s AS (SELECT doc_id, pos, left(g, 2) AS b, length(g) = 200 AND row_number() OVER (PARTITION BY g ORDER BY doc_id, pos) > 1 AS again FROM p),
+c AS (SELECT doc_id, pos, b, coalesce(pos - max(CASE WHEN again THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) < 100, false) AS gone FROM s),
 e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM c),
 k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, string_agg(b, '' ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM e GROUP BY doc_id)
 SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
@@ -132,7 +132,7 @@ SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_
     # the articles of the driver's pages, by a plain reading of their markup
     "op10_html_extract": r"""
 WITH a AS (SELECT page_id, url, unnest(regexp_split_to_array(regexp_extract(coalesce(html, ''), '<article>([\s\S]*?)</article>', 1), '</?(?:p|h1)>')) AS x, unnest(range(1000)) AS k FROM pages),
-b AS (SELECT page_id, url, k, trim(regexp_replace(replace(regexp_replace(regexp_replace(x, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g'), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM a WHERE x IS NOT NULL)
+b AS (SELECT page_id, url, k, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(x, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM a WHERE x IS NOT NULL)
 SELECT page_id, url, coalesce(string_agg(t, chr(10) ORDER BY k) FILTER (WHERE t <> ''), '') AS text, coalesce(length(string_agg(t, chr(10) ORDER BY k) FILTER (WHERE t <> '')), 0) AS n_chars FROM b GROUP BY page_id, url""",
     "op2_url_filter": f"""
 WITH parts AS (
