@@ -23,9 +23,9 @@ def test_lexicon_leaves_broken_halves_out(spark):
 
 
 def test_keep_hyphen(spark):
-    words = spark.createDataFrame([("harvest",), ("time",), ("scale",), ("long",)], "word string")
-    pairs = spark.createDataFrame([("har", "vest"), ("time", "scale"), ("km", "long"), ("infor", "mation"), ("NE", "SW")], "a string, b string")
-    assert {(r.a, r.keep) for r in sequence.keep_hyphen(pairs, words).collect()} == {("har", False), ("time", True), ("km", True), ("infor", False), ("NE", True)}
+    words = spark.createDataFrame([("sourdough",), ("rye",), ("bread",), ("tall",)], "word string")
+    pairs = spark.createDataFrame([("sour", "dough"), ("rye", "bread"), ("km", "tall"), ("mari", "time"), ("NW", "SE")], "a string, b string")
+    assert {(r.a, r.keep) for r in sequence.keep_hyphen(pairs, words).collect()} == {("sour", False), ("rye", True), ("km", True), ("mari", False), ("NW", True)}
 
 
 def test_pack_batches(spark):
@@ -35,7 +35,7 @@ def test_pack_batches(spark):
 
 
 def test_similar_lines_against_all_pairs(spark):
-    keys = ["runninghead", "runninghaed", "runningheads", "other words", "otherwords!", "volcanoes of", "volcanos of", "abcdef", "abcdeg"]
+    keys = ["runninghead", "runninghaed", "runningheads", "other words", "otherwords!", "bakeries of", "bakerys of it", "abcdef", "abcdeg"]
     grams = {k: {k.replace(" ", "")[i : i + 2] for i in range(len(k.replace(" ", "")) - 1)} for k in keys}
     want = {(a, b) for a in keys for b in keys if a < b and min(len(grams[a]), len(grams[b])) >= 5 and min(len(grams[a]), len(grams[b])) * 100 >= max(len(grams[a]), len(grams[b])) * 85 and len(grams[a] & grams[b]) * 10 >= max(len(grams[a]), len(grams[b])) * 8}
     got = {tuple(r) for r in similarity.similar_lines(spark.createDataFrame([(k,) for k in keys], "key string")).collect()}
@@ -43,8 +43,8 @@ def test_similar_lines_against_all_pairs(spark):
 
 
 def test_consensus(spark):
-    df = spark.createDataFrame([(1, "basalt lava"), (1, "basalt lava"), (1, "basalt laaaaaava"), (1, "basa1t lava")], "k int, t string")
-    assert similarity.consensus(df, "k", "t", uni.degeneracy("t")).first()["t"] == "basalt lava"
+    df = spark.createDataFrame([(1, "crusty loaf"), (1, "crusty loaf"), (1, "crusty loaaaaaaaf"), (1, "cru5ty loaf")], "k int, t string")
+    assert similarity.consensus(df, "k", "t", uni.degeneracy("t")).first()["t"] == "crusty loaf"
 
 
 def test_best_match(spark):
@@ -123,11 +123,11 @@ def test_answers_and_failures(spark):
 
 
 def test_unicode():
-    assert uni.fix_accents_text("Universit´e `x`") == "Université `x`"
+    assert uni.fix_accents_text("Caf´e `x`") == "Café `x`"
     assert uni.fnv1a_text("") == "cbf29ce484222325" and uni.fnv1a_text("a") == "af63dc4c8601ec8c"
-    assert uni.decode_bytes(b"\xef\xbb\xbfx\r\ny") == "x\ny" and uni.decode_bytes("火山".encode("cp932")) == "火山"
-    assert uni.degeneracy_text("16,00000m") > 0 and uni.degeneracy_text("路路路路") == 2 and uni.degeneracy_text("......") == 0 and uni.degeneracy_text("The The The") == 1
-    assert uni.vertical_html_text("第12回") == '第<span class="tcy">12</span>回' and uni.vertical_html_text("8cm") == '<span class="tcy">8</span><span class="tcy">cm</span>'
+    assert uni.decode_bytes(b"\xef\xbb\xbfx\r\ny") == "x\ny" and uni.decode_bytes("港町".encode("cp932")) == "港町"
+    assert uni.degeneracy_text("27,00000kg") > 0 and uni.degeneracy_text("鐘鐘鐘鐘") == 2 and uni.degeneracy_text("------") == 0 and uni.degeneracy_text("Oar Oar Oar") == 1
+    assert uni.vertical_html_text("全34巻") == '全<span class="tcy">34</span>巻' and uni.vertical_html_text("5kg") == '<span class="tcy">5</span><span class="tcy">kg</span>'
     assert uni.split_equation_number_text("a+b\\quad(4)") == ("a+b", "4") and uni.text_pattern("A1")[:3] == [9.0, 17.0, 0.0]
 
 
@@ -177,7 +177,7 @@ def test_chars(spark):
     assert chars.spaced_lines(chars_of(spark, [("a", 0, 5), ("b", 5, 10), ("c", 15, 20), ("d", 20, 25), ("e", 25, 30)])).first()["text"] == "ab cde"
     second = chars_of(spark, [("Q", 0, 5)])
     assert text(chars.named_glyphs(chars_of(spark, [("\ufffd", 0, 5)]), second)) == "Q"
-    assert spark.createDataFrame([("3 × 1018 and 5 km3",)], "text string").select(chars.ocr_superscripts()).first()[0] == "3 × 10^{18} and 5 km^{3}"
+    assert spark.createDataFrame([("7 × 1012 and 4 km3",)], "text string").select(chars.ocr_superscripts()).first()[0] == "7 × 10^{12} and 4 km^{3}"
 
 
 def test_known_words(spark):
