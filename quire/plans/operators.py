@@ -7,6 +7,7 @@ in two columns with a fixed advance, in Spark and in SQL alike.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import text as rules
@@ -224,7 +225,7 @@ FORMS = lambda x: f"[{x}, {x} || 's', {x} || 'es', {x} || 'ed', {x} || 'd', {x}
 @query(f"""WITH w AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+(?:-[a-z]+)?')) AS w FROM documents)),
  k AS (SELECT * FROM w WHERE length(w) % 3 <> 0 OR contains(w, '-')),
  p AS (SELECT substr(w, 1, length(w) // 2) AS a, substr(w, length(w) // 2 + 1) AS b FROM w WHERE length(w) BETWEEN 6 AND 12 AND NOT contains(w, '-') UNION SELECT split_part(w, '-', 1), split_part(w, '-', 2) FROM w WHERE contains(w, '-')
-  UNION SELECT upper(left(w, 2)), w FROM w WHERE length(w) = 5 UNION SELECT a.w, b.w FROM (SELECT w FROM w ORDER BY w LIMIT 40) a JOIN (SELECT w FROM w ORDER BY w DESC LIMIT 40) b ON true),
+  UNION SELECT upper(left(w, 2)), w FROM w WHERE length(w) = 5 UNION SELECT a, b FROM (SELECT regexp_extract(lower(line), '([a-z]+)[^a-z]*$', 1) AS a, regexp_extract(lower(lead(line) OVER (PARTITION BY doc_id ORDER BY line_ix)), '^[^a-z]*([a-z]+)', 1) AS b FROM {L}) WHERE a <> '' AND b <> ''),
  f AS (SELECT p.*, lower(a) AS la, lower(b) AS lb FROM p),
  c AS (SELECT a, b, 1 AS what FROM f JOIN k ON k.w = la || '-' || lb UNION SELECT a, b, 2 FROM (SELECT a, b, unnest({FORMS("(la || lb)")}) AS x FROM f) JOIN k ON k.w = x UNION SELECT a, b, 3 FROM (SELECT a, b, unnest({FORMS("la")}) AS x FROM f) JOIN k ON k.w = x UNION SELECT a, b, 4 FROM (SELECT a, b, unnest({FORMS("lb")}) AS x FROM f) JOIN k ON k.w = x),
  g AS (SELECT f.*, bool_or(what = 1) AS c1, bool_or(what = 2) AS c2, bool_or(what = 3) AS c3, bool_or(what = 4) AS c4 FROM f LEFT JOIN c USING (a, b) GROUP BY ALL)
@@ -237,8 +238,8 @@ def keep_hyphen(spark, sf_dir):
     split = words.filter("length(word) BETWEEN 6 AND 12 AND NOT contains(word, '-')").select(F.substr("word", F.lit(1), half).alias("a"), F.substr("word", half + 1).alias("b"))
     hyphened = words.filter("contains(word, '-')").select(F.split_part("word", F.lit("-"), F.lit(1)).alias("a"), F.split_part("word", F.lit("-"), F.lit(2)).alias("b"))
     capital = words.filter("length(word) = 5").select(F.upper(F.substr("word", F.lit(1), F.lit(2))).alias("a"), F.col("word").alias("b"))
-    first, last = words.orderBy("word").limit(40), words.orderBy(F.desc("word")).limit(40)  # whole words side by side: a report's worth
-    beside = first.select(F.col("word").alias("a"), F.lit(1).alias("k")).join(last.select(F.col("word").alias("b"), F.lit(1).alias("k")), "k").drop("k")
+    after = F.lead("line").over(W.partitionBy("doc_id").orderBy("line_ix"))  # a line's last word and the next line's first, as a hyphen would part them
+    beside = lines(spark, sf_dir).select(F.regexp_extract(F.lower("line"), "([a-z]+)[^a-z]*$", 1).alias("a"), F.regexp_extract(F.lower(after), "^[^a-z]*([a-z]+)", 1).alias("b")).filter("a != '' AND b != ''")
     return sequence.keep_hyphen(split.unionByName(hyphened).unionByName(capital).unionByName(beside).distinct(), known)
 
 
@@ -287,8 +288,6 @@ def record_candidates(spark, sf_dir):
     token = F.array_distinct(column(rules.tokens, "text"))
     files = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("file_id"), F.explode(token).alias("token"))
     records = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.explode(token).alias("token"))
-    from pyspark.sql import Window as W
-
     found = similarity.candidates(files, records)
     return found.withColumn("k", F.row_number().over(W.partitionBy("file_id").orderBy(F.desc(F.round("score", 6)), "key"))).filter("k = 1").drop("k")
 
