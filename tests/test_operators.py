@@ -232,3 +232,19 @@ def test_titles_are_whole_lines(spark, tmp_path):
     spark.createDataFrame([(20 + k, t, "s", 10) for k, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     (found,) = pages.entity_match(spark, str(tmp_path)).collect()
     assert (found.file_id, found.record, found.ambiguous) == (20, 20, False)
+
+
+def test_candidates_of_equal_scores_are_told_apart_by_key(spark):
+    """ln(n / 2) + ln(n / 6) and ln(n / 3) + ln(n / 4) are equal, but not as floating-point sums."""
+    import math
+
+    sums = lambda n: (math.log(n / 2) + math.log(n / 6), math.log(n / 3) + math.log(n / 4))
+    n = next(n for n in range(20, 200) if sums(n)[0] != sums(n)[1])
+    low, high = (("c", "d"), ("a", "b")) if sums(n)[0] > sums(n)[1] else (("a", "b"), ("c", "d"))  # the smaller key has the smaller sum
+    rows = [(1, t) for t in low] + [(2, t) for t in high] + [(k, t) for t, more in (("b", 4), ("c", 1), ("d", 2)) for k in range(3, 3 + more)] + [(k, f"t{k}") for k in range(3, n + 1)]
+    files = spark.createDataFrame([(0, t) for t in "abcd"], "file_id long, token string")
+    found = similarity.candidates(files, spark.createDataFrame(rows, "key long, token string"), top=40)
+    scores = {r.key: r.score for r in found.collect()}
+    assert scores[1] < scores[2] and round(scores[1], 6) == round(scores[2], 6) > 0
+    best = [r.key for r in similarity.candidates(files.filter("token in ('a', 'b', 'c', 'd')"), spark.createDataFrame(rows, "key long, token string"), top=sum(s > scores[2] + 1e-6 for s in scores.values()) + 1).collect()]
+    assert 1 in best and 2 not in best
