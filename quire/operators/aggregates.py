@@ -63,10 +63,9 @@ def layer_quality(pages: DataFrame, known: DataFrame) -> DataFrame:
 def text_layer_share(lines: DataFrame) -> DataFrame:
     """(doc_id, good, judged, quality): characters on plausible lines of four characters and more; 1 below 200 characters."""
     n = F.length(column(lambda q, t: rules.unspaced(q, t), "line"))
-    w = F.col("w")
-    wordy = F.size(F.filter(w, lambda x: (F.regexp_count(x, F.lit(r"\p{L}")) >= 3) & (F.regexp_count(x, F.lit(r"\p{L}")) * 10 >= F.length(x) * 7)))
-    plausible = column(rules.prose_like, "line") | ((F.size(w) > 0) & (wordy * 2 >= F.size(w)))
-    judged = lines.withColumn("n", n).filter("n >= 4").withColumn("w", column(rules.words, "line")).withColumn("ok", plausible)
+    wordy = lambda w: F.size(F.filter(w, lambda x: (F.regexp_count(x, F.lit(r"\p{L}")) >= 3) & (F.regexp_count(x, F.lit(r"\p{L}")) * 10 >= F.length(x) * 7)))
+    plausible = column(rules.prose_like, "line") | F.get(F.transform(F.array(column(rules.words, "line")), lambda w: (F.size(w) > 0) & (wordy(w) * 2 >= F.size(w))), F.lit(0))  # words are looked at one by one only where the line is no prose
+    judged = lines.withColumn("n", n).filter("n >= 4").withColumn("ok", plausible)
     out = judged.groupBy("doc_id").agg(F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("good"), F.sum("n").alias("judged"))
     return out.withColumn("quality", F.when(F.col("judged") < 200, 1.0).otherwise(F.col("good") / F.col("judged")))
 

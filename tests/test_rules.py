@@ -1,9 +1,14 @@
 """Text rules on hand-made cases."""
 
+import random
+import time
+
+import duckdb
+import pandas as pd
 import pytest
 
 from quire.functions import text as rules
-from quire.functions.dialect import column
+from quire.functions.dialect import DUCK, SPACES, SPARK, WS, column
 
 CASES = [
     ("caption_kind", "Table 4. Sails by weight", "table"), ("caption_kind", "Table 4 compares sails", None), ("caption_kind", "Figure 11: A dinghy", "figure"), ("caption_kind", "図 4.1 船体", "figure"), ("caption_kind", "表面は粗い", None), ("caption_kind", "図3(b)にまとめた", None), ("caption_kind", "第2表 楽器一覧", "table"), ("caption_kind", "Plate XI. Violins", "figure"),
@@ -40,3 +45,42 @@ def test_cases(spark):
 def test_nulls_and_empty(spark, name):
     rule = {**rules.PREDICATES, **rules.CLEANERS, **rules.VALUES, **rules.WORD_PREDICATES}[name]
     spark.createDataFrame([(None,), ("",), ("x" * 5000,)], "t string").select(column(rule, "t")).collect()
+
+
+#: Rules whose Spark spelling differs from the one that DuckDB gets.
+RESPELLED = "url_continues open_end wants_more letter_spaced panel_labels repetitive prose_like is_front_heading is_closing_heading is_references_heading entry_end is_byline heading_number caption_kind trailing_pages marker caps_heading ends_sentence is_refs_heading note_opening section_word dates_line lead has_equation_number title_like own_equation_number guard_line strip_marker alt_text trim_line_spaces".split()
+PIECES = ["the", "of", "And", "a", "I", "l", "the,", "(the)", "to-", "bread", "Rye", "B", "(d)", "e.", "’f", "12", "3a", "www.x.y/", "http://b_", "doi:1", "10.1/", "in press.", "1999.", "12-14.", "Abstract", "ABST", "RACT:", "Conclusion", "references", "船", "。", "パン", "É", "ſ", "-", "–", ",", "(", ")", "[7]", "la", "Table 4", "x\x00y", "s.", "K"]
+SPACED = [" ", " ", " ", "", "  ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u3000", "\u180e", "\u200b"]
+
+
+def odd_lines(n: int) -> list[str]:
+    rng = random.Random(5)
+    few = lambda: rng.sample(PIECES, rng.choice((2, 4, len(PIECES))))
+    return ["", " ", "\r", *("".join(rng.choice(some) + rng.choice(SPACED[: rng.choice((3, len(SPACED)))]) for _ in range(rng.randint(1, 14))) for some in (few() for _ in range(n)))]
+
+
+def test_both_spellings_agree(spark):
+    texts, found = list(dict.fromkeys(odd_lines(4000))), []
+    df, con = spark.createDataFrame([(t,) for t in texts], "t string"), duckdb.connect()
+    con.register("made", pd.DataFrame({"t": texts}))
+    for name in RESPELLED:
+        rule = getattr(rules, name)
+        ours = dict(df.select("t", column(rule, "t").cast("string").alias("v")).collect())
+        theirs = dict(con.execute(f"SELECT t, cast({rule(DUCK, 't')} AS VARCHAR) FROM made").fetchall())
+        found += [(name, t, ours[t], theirs[t]) for t in texts if ours[t] != theirs[t]]
+    assert not found
+
+
+def test_white_space_is_the_same_set(spark):
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    both = spark.createDataFrame([(every,)], "t string").selectExpr(f"regexp_extract_all(t, r'[{WS}]', 0) a", f"regexp_extract_all(t, {SPARK.lit(f'[{WS}]')}, 0) b", f"split('{SPACES}', '') c").first()
+    assert sorted(both.a) == sorted(both.b) == sorted(both.c) and len(both.a) == 25
+
+
+@pytest.mark.parametrize("name", ["url_continues", "open_end", "entry_end", "wants_more"])
+def test_a_long_word_takes_no_square_of_its_length(spark, name):
+    df = spark.createDataFrame([("http://" + "x" * 300_000 + " y/",)], "t string").select(column(getattr(rules, name), "t"))
+    df.limit(0).collect()
+    began = time.perf_counter()
+    df.collect()
+    assert time.perf_counter() - began < 10
