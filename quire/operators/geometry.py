@@ -100,17 +100,19 @@ def gutters(df: DataFrame, keys: list[str], gap: float = 3.0) -> DataFrame:
 
 
 def coverage_gaps(df: DataFrame, keys: list[str], share: int = 5, least: int = 3) -> DataFrame:
-    """(keys, cut): the middles of stretches, at least ``least`` points wide, that at most a ``share``-th of the rows cover: columns of a table. Points are exploded, so a page is never gathered."""
-    rows = df.groupBy(*keys).agg(F.countDistinct("row_ix").alias("rows"), F.min(F.floor("x0")).alias("a"), F.max(F.ceil("x1")).alias("b"))
-    points = df.select(*keys, "row_ix", F.explode(F.sequence(F.floor("x0").cast("int"), F.greatest(F.floor("x0"), F.ceil("x1") - 1).cast("int"))).alias("x")).distinct()
-    cover = points.groupBy(*keys, "x").agg(F.count("*").alias("n"))
-    all_ = rows.select(*keys, "rows", F.explode(F.sequence(F.col("a").cast("int"), (F.col("b") - 1).cast("int"))).alias("x"))
-    allowed = F.when(F.col("rows") >= 3, F.greatest(F.lit(1), F.floor(F.col("rows") / share))).otherwise(0)
-    free = all_.join(cover, [*keys, "x"], "left").withColumn("full", F.coalesce("n", F.lit(0)) > allowed)
+    """(keys, cut): the middles of stretches, at least ``least`` points wide, that at most a ``share``-th of the rows cover: columns of a table. Each row's stretches are merged and
+    their ends summed up along the axis; pages are dealt out once, and neither exploded into points nor gathered."""
+    dealt = df.select(*keys, "row_ix", F.floor("x0").cast("int").alias("a"), F.greatest(F.floor("x0") + 1, F.ceil("x1")).cast("int").alias("b"), F.ceil("x1").cast("int").alias("c")).repartition(*keys)
+    page = dealt.groupBy(*keys).agg(F.countDistinct("row_ix").alias("rows"), F.max("c").alias("c"))
+    merged = merge_intervals(dealt, [*keys, "row_ix"], "a", "b").join(page, keys).withColumn("b", F.least("b", "c")).filter("a < b")
+    ends = merged.select(*keys, "rows", F.inline(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("d")), F.struct(F.col("b").alias("x"), F.lit(-1).alias("d")))))
     by = W.partitionBy(*keys)
-    inner = free.withColumns({"first": F.min(F.when(F.col("full"), F.col("x"))).over(by), "last": F.max(F.when(F.col("full"), F.col("x"))).over(by)}).filter("NOT full AND x > first AND x < last")
-    runs = inner.withColumn("run", F.col("x") - F.row_number().over(by.orderBy("x"))).groupBy(*keys, "run").agg(F.min("x").alias("a"), F.max("x").alias("b"))
-    return runs.filter(F.col("b") - F.col("a") + 1 >= least).select(*keys, ((F.col("a") + F.col("b") + 1) / 2).alias("cut"))
+    along = by.orderBy("x")
+    allowed = F.when(F.col("rows") >= 3, F.greatest(F.lit(1), F.floor(F.col("rows") / share))).otherwise(0)
+    parts = ends.groupBy(*keys, "rows", "x").agg(F.sum("d").alias("d")).withColumns({"n": F.sum("d").over(along.rowsBetween(W.unboundedPreceding, 0)), "to": F.lead("x").over(along)}).filter("to IS NOT NULL").withColumn("full", F.col("n") > allowed)
+    placed = parts.withColumns({"run": F.sum(F.col("full").cast("int")).over(along.rowsBetween(W.unboundedPreceding, 0)), "first": F.min(F.when(F.col("full"), F.col("x"))).over(by), "last": F.max(F.when(F.col("full"), F.col("to"))).over(by)})
+    runs = placed.filter("NOT full AND x >= first AND to <= last").groupBy(*keys, "run").agg(F.min("x").alias("a"), F.max("to").alias("b"))
+    return runs.filter(F.col("b") - F.col("a") >= least).select(*keys, ((F.col("a") + F.col("b")) / 2).alias("cut"))
 
 
 def region_vote(lines: DataFrame, regions: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators over pages, units, records and inline text on small hand-made tables, against plain Python where they are greedy or recurse."""
 
+import math
 import random
 
 import pytest
@@ -219,3 +220,25 @@ def test_queries_find_something(spark, sf, name):
     assert found.count() > 0
     if name == "japanese_quality":
         assert {r.doc_id: r.poor for r in found.filter("doc_id < 0").collect()} == {-10: False, -11: True, -12: None}
+
+
+def plain_gaps(rows, share, least):
+    points = {(r, x) for r, x0, x1 in rows for x in range(math.floor(x0), max(math.floor(x0), math.ceil(x1) - 1) + 1)}
+    n, low, high = len({r for r, *_ in rows}), min(math.floor(r[1]) for r in rows), max(math.ceil(r[2]) for r in rows)
+    cover = [sum((r, x) in points for r in {r for r, *_ in rows}) for x in range(low, high)]
+    full = [x for x, c in enumerate(cover, low) if c > (max(1, n // share) if n >= 3 else 0)]
+    return [(a + b) / 2 for a, b in zip([x + 1 for x in full], full[1:], strict=False) if b - a >= least]
+
+
+def test_gaps_against_points(spark):
+    random.seed(7)
+    pages = {p: [(random.randint(0, 6), x, x + random.choice((0, 0.5, 3, 8.25, 30))) for x in (random.choice((0, 0.5, 7, 20.75, 41, 60)) + random.randint(0, 3) for _ in range(random.randint(1, 14)))] for p in range(60)}
+    df = spark.createDataFrame([(1, p, r, float(a), float(b)) for p, rows in pages.items() for r, a, b in rows], "doc_id long, page int, row_ix int, x0 double, x1 double")
+    got = geometry.coverage_gaps(df, ["doc_id", "page"]).collect()
+    want = [(p, c) for p, rows in pages.items() for c in plain_gaps(rows, 5, 3)]
+    assert sorted((r.page, r.cut) for r in got) == sorted(want) and want
+
+
+def test_gaps_of_wide_pages_are_not_exploded(spark):
+    df = spark.createDataFrame([(1, 0, 0, 0.0, 9e8), (1, 0, 1, 9.5e8, 2e9)], "doc_id long, page int, row_ix int, x0 double, x1 double")
+    assert [r.cut for r in geometry.coverage_gaps(df, ["doc_id", "page"]).collect()] == [9.25e8]
