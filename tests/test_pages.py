@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -242,3 +243,22 @@ def test_gaps_against_points(spark):
 def test_gaps_of_wide_pages_are_not_exploded(spark):
     df = spark.createDataFrame([(1, 0, 0, 0.0, 9e8), (1, 0, 1, 9.5e8, 2e9)], "doc_id long, page int, row_ix int, x0 double, x1 double")
     assert [r.cut for r in geometry.coverage_gaps(df, ["doc_id", "page"]).collect()] == [9.25e8]
+
+
+@pytest.mark.parametrize("name", ["scripts", "segments", "ligatures_and_accents", "point_hits"])
+def test_characters_are_not_shuffled(spark, sf, name):
+    """Above the step that makes characters of a line, the first that needs them together finds them so."""
+    from quire.plans import catalog
+
+    plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in plan]
+    makers = [k for k, x in enumerate(plan) if re.search(r"Generate posexplode\(split\(text#\d+, , -1\)\)", x)]
+    assert makers
+    for k in makers:
+        at = depth[k]
+        for j in range(k - 1, -1, -1):
+            if plan[j].strip() and 0 < depth[j] < at and "[" in plan[j]:
+                at = depth[j]
+                if re.search("Window|Aggregate|Join|Exchange", plan[j].partition("[")[0]):
+                    assert "Exchange" not in plan[j].partition("[")[0].partition("(")[0]
+                    break
