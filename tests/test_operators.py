@@ -248,3 +248,58 @@ def test_candidates_of_equal_scores_are_told_apart_by_key(spark):
     assert scores[1] < scores[2] and round(scores[1], 6) == round(scores[2], 6) > 0
     best = [r.key for r in similarity.candidates(files.filter("token in ('a', 'b', 'c', 'd')"), spark.createDataFrame(rows, "key long, token string"), top=sum(s > scores[2] + 1e-6 for s in scores.values()) + 1).collect()]
     assert 1 in best and 2 not in best
+
+
+def test_match_against_all_pairs(spark, monkeypatch):
+    """As told by a plain comparison of all pairs, of which few are compared."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quire.operators import matching, similarity
+
+    random.seed(5)
+    syllables = "ther on ing an re tion ly sh ou ea".split()
+    words = ["".join(random.choices(syllables, k=random.randint(1, 3))) for _ in range(60)]
+    titles = [" ".join(random.choices(words, k=random.choice((1, 2, 3, 5, 9, 40)))) for _ in range(60)]
+    def other(t):  # a letter or two put in, left out or changed, a space lost, an ending
+        for _ in range(random.randint(0, 2)):
+            k = random.randrange(len(t))
+            t = random.choice((t[:k] + t[k + 1 :], t[:k] + "x" + t[k:], t[:k] + "é" + t[k + 1 :]))
+        return random.choice((t, t, t.replace(" ", "", 1), t + " pdf", t + " and more of it", " ".join(t.split())))
+    records = [(k, other(random.choice(titles)), random.choice(("smith", "jones", None)), ["jones"], random.choice((2000, 2001, 2002, None))) for k in range(500)]
+    files_ = [(k, t, a, y) for k, t, a, _, y in records[::5]] + [(1000 + k, random.choice((other(t), t[:20] + " … " + t[-10:])), random.choice(("smith", "jones", None)), random.choice((2000, 2001, None))) for k, t in enumerate(titles)] + [(2000, None, "smith", 2000), (2001, "", "smith", 2000)]
+    rf = spark.createDataFrame(records, "key long, title string, author string, others array<string>, year int")
+    ff = spark.createDataFrame(files_, "file_id long, title string, author string, year int")
+    compared = spark.sparkContext.accumulator(0)
+
+    def counted(a, b, least):
+        compared.add(len(a))
+        return matching._pairwise(a, b, least)
+
+    monkeypatch.setattr(matching, "title_score", F.pandas_udf(counted, "double"))
+    got = {r.file_id: (r.record, round(r.score, 9), r.ambiguous) for r in matching.match(ff, rf).collect()}
+    token = lambda df, k: df.select(k, F.explode(F.array_distinct(F.filter(F.split("title", " "), lambda w: F.length(w) >= 3))).alias("token"))
+    pairs = {(r.file_id, r.key) for r in similarity.candidates(token(ff, "file_id"), token(rf, "key")).collect()}
+    by_key, want, all_pairs = {r[0]: r for r in records}, {}, 0
+    for i, t, a, y in files_:
+        scores = []
+        for k, rt, ra, _, ry in records:
+            same = a is not None and a == ra and (y is None or ry is None or abs(y - ry) <= 1)
+            all_pairs += same
+            if not (same or (i, k) in pairs):
+                continue
+            fit = matching.title_similarity(t, rt)
+            author = 0.6 if a is None or ra is None else 1.0 if a == ra else 0.7 if a == "jones" else 0.0
+            year = 1.0 if y == ry else 0.7 if y is None or ry is None or abs(y - ry) == 1 else 0.0
+            if fit >= 0.5:
+                scores.append((-fit * (0.5 + 0.25 * author + 0.25 * year), k))
+        scores.sort()
+        if scores and -scores[0][0] >= 0.70:
+            want[i] = (scores[0][1], round(-scores[0][0], 9), len(scores) > 1 and scores[1][0] - scores[0][0] < 0.03)
+    assert len(by_key) == 500 and len(want) > 100 and {x[2] for x in want.values()} == {True, False}
+    assert got == want
+    whole = spark.createDataFrame([(k, t, "smith", [], 2000) for k, t in enumerate(f"{random.choice(words)} {random.choice(words)} {k} {random.choice(words)}" for k in range(600))], rf.schema)
+    compared.value = 0
+    assert matching.match(whole.select(F.col("key").alias("file_id"), "title", "author", "year"), whole).count() == 600
+    assert compared.value < 60_000  # of 360,000
