@@ -15,3 +15,17 @@ def test_unicode_functions_work_out_a_character_once(monkeypatch):
     texts = ["".join(random.choices("aé一\0", k=random.choice((0, 1, 5, 300, 5000)))) for _ in range(200)]
     assert uni.fnv1a_texts(texts) == [uni.fnv1a_text(t) for t in texts] and uni.fnv1a_texts([]) == []
     assert [uni.degeneracy_text(t) for t in ("aaaa", "aaaaaaa", "一一一", "0000000", "-" * 50, "1,000000", "the the the the")] == [0, 3, 1, 1, 0, 3, 2]
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_lost_and_doubled_words_only_of_changed_texts(spark, tmp_path):
+    from quire.plans import operators
+
+    rows = [(1, "two words"), (2, "a bro-\nken word"), (3, ""), (4, None), (5, "1 2 3"), (6, "の"), (2, "broken"), (None, "two")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = operators.lost_and_doubled_words(spark, str(tmp_path))
+    assert {(r.doc_id, r.lost, r.doubled) for r in found.collect()} == {(1, 0, 0), (2, 2, 1), (6, 0, 0), (None, 1, 1)}
+    assert "FullOuter" not in plan(found)
\ No newline at end of file
