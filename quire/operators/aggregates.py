@@ -70,9 +70,9 @@ def text_layer_share(lines: DataFrame) -> DataFrame:
     return out.withColumn("quality", F.when(F.col("judged") < 200, 1.0).otherwise(F.col("good") / F.col("judged")))
 
 
-def idf(postings: DataFrame, n_docs: int) -> DataFrame:
-    """(token, df, idf) of (doc_id, token): ln(n / (1 + df))."""
-    return postings.groupBy("token").agg(F.countDistinct("doc_id").alias("df")).withColumn("idf", F.log(F.lit(float(n_docs)) / (1 + F.col("df"))))
+def idf(postings: DataFrame, n_docs: int, once: bool = False) -> DataFrame:
+    """(token, df, idf) of (doc_id, token): ln(n / (1 + df)). With ``once`` each posting is there once, and only tokens and their counts are dealt out."""
+    return postings.groupBy("token").agg((F.count("doc_id") if once else F.countDistinct("doc_id")).alias("df")).withColumn("idf", F.log(F.lit(float(n_docs)) / (1 + F.col("df"))))
 
 
 #: Thresholds of the audit's measures; fixed values.

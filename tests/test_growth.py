@@ -21,6 +21,18 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
+def test_idf_of_single_postings_counts_tokens_alone(spark, tmp_path):
+    from quire.operators import aggregates
+    from quire.plans import operators
+
+    postings = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b")], "doc_id long, token string")
+    assert {(r.token, r.df) for r in aggregates.idf(postings, 2, once=True).collect()} == {("a", 2), ("b", 1)}
+    assert "distinct" not in plan(aggregates.idf(postings, 2, once=True))
+    for ids, df in (((1, 2), 2), ((1, 1), 1)):  # a repeated id counts once
+        spark.createDataFrame([(ids[0], "a a"), (ids[1], "A b")], "doc_id long, text string").write.parquet(f"{tmp_path}/{df}/documents.parquet")
+        assert {(r.token, r.df) for r in operators.token_idf(spark, f"{tmp_path}/{df}").collect()} == {("a", df), ("b", 1)}
+
+
 def test_lost_and_doubled_words_only_of_changed_texts(spark, tmp_path):
     from quire.plans import operators
 
