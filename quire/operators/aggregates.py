@@ -37,15 +37,16 @@ def dropped_lines(lines: DataFrame, pages: int, share: int = 4, least: int = 2)
 
 
 def lexicon(lines: DataFrame) -> DataFrame:
-    """(word, n): words of two letters and more, without the halves of words broken at line ends, hyphenated words' parts counted too."""
-    order = W.partitionBy("doc_id").orderBy("line_ix")
-    broken = F.col("line").rlike(r"[-‐‑][\s]*$")
-    marked = lines.withColumns({"w": column(rules.words, "line"), "cut": broken, "open": F.coalesce(F.lag(broken).over(order), F.lit(False))})
+    """(word, n): words of two letters and more, without the halves of words broken at line ends, hyphenated words' parts counted too. ``lines`` may bring the line before each (``before``), else it is found by doc_id and line_ix."""
+    ends = lambda c: F.col(c).rlike(r"[-‐‑][\s]*$")
+    told = lines if "before" in lines.columns else lines.withColumn("before", F.lag("line").over(W.partitionBy("doc_id").orderBy("line_ix")))
+    marked = told.withColumns({"w": column(rules.words, "line"), "cut": ends("line"), "open": F.coalesce(ends("before"), F.lit(False))})
     start = F.when(F.col("open"), 2).otherwise(1)
     inner = F.slice("w", start, F.greatest(F.lit(0), F.size("w") - (start - 1) - F.col("cut").cast("int")))
-    bare = marked.select(F.explode(inner).alias("t")).select(F.lower(F.regexp_replace("t", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")).alias("word")).filter(F.regexp_count("word", F.lit(r"\p{L}")) >= 2)
-    parts = bare.filter("word rlike '[-‐‑]'").select(F.explode(F.split("word", "[-‐‑]")).alias("word")).filter("length(word) >= 2")
-    return bare.unionByName(parts).groupBy("word").agg(F.count("*").alias("n"))
+    forms = marked.select(F.explode(inner).alias("t")).groupBy("t").agg(F.count("*").alias("n"))  # each form is cleaned once
+    bare = forms.select(F.lower(F.regexp_replace("t", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")).alias("word"), "n").filter(F.regexp_count("word", F.lit(r"\p{L}")) >= 2)
+    parts = F.when(F.col("word").rlike("[-‐‑]"), F.filter(F.split("word", "[-‐‑]"), lambda p: F.length(p) >= 2)).otherwise(F.array().cast("array<string>"))
+    return bare.select(F.explode(F.concat(F.array("word"), parts)).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def layer_quality(pages: DataFrame, known: DataFrame) -> DataFrame:

@@ -15,11 +15,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 MADE = [(-1 - d, k, x) for d, texts in enumerate((LINES, REFERENCES, TABLE)) for k, x in enumerate(texts)]
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, line_ix, line): documents cut at newlines; the hand-made lines are documents -1 to -3."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_ix", "line"))
+def lines(spark: SparkSession, sf_dir: str, docs: bool = True) -> DataFrame:
+    """(doc_id, line_ix, line): documents cut at newlines; the hand-made lines are documents -1 to -3, alone without ``docs``."""
     made = spark.createDataFrame(MADE, "doc_id long, line_ix int, line string")
-    return docs.unionByName(made)
+    if not docs:
+        return made
+    found = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_ix", "line"))
+    return found.unionByName(made)
 
 
 def _quoted(text: str) -> str:

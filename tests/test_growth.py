@@ -40,4 +40,12 @@ def test_lost_and_doubled_words_only_of_changed_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = operators.lost_and_doubled_words(spark, str(tmp_path))
     assert {(r.doc_id, r.lost, r.doubled) for r in found.collect()} == {(1, 0, 0), (2, 2, 1), (6, 0, 0), (None, 1, 1)}
-    assert "FullOuter" not in plan(found)
\ No newline at end of file
+    assert "FullOuter" not in plan(found)
+
+
+def test_lexicon_takes_the_line_before_as_given(spark):
+    from quire.operators import aggregates
+
+    rows = [("of time-", "scale", None), ("scale the", "x", "of time-"), ("(Time!)", "y", "scale the")]
+    found = aggregates.lexicon(spark.createDataFrame(rows, "line string, other string, before string"))
+    assert dict(found.collect()) == {"of": 1, "the": 1, "time": 1} and "Window" not in plan(found)
\ No newline at end of file
