@@ -51,7 +51,9 @@ def _value(rule: Rule) -> Query:
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(word, n): the corpus's words, counted."""
-    return lines(spark, sf_dir).select(F.explode(column(rules.words, "line")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")  # a text's words are its lines' words
+    texts = docs.unionByName(spark.createDataFrame([(x,) for *_, x in MADE], "text string"))
+    return texts.select(F.explode(column(rules.words, "text")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 WORDS_SQL = f"SELECT word, count(*) AS n FROM (SELECT unnest({rules.words(DUCK, 'line')}) AS word FROM ({LINES_SQL})) GROUP BY word"

@@ -48,4 +48,10 @@ def test_lexicon_takes_the_line_before_as_given(spark):
 
     rows = [("of time-", "scale", None), ("scale the", "x", "of time-"), ("(Time!)", "y", "scale the")]
     found = aggregates.lexicon(spark.createDataFrame(rows, "line string, other string, before string"))
-    assert dict(found.collect()) == {"of": 1, "the": 1, "time": 1} and "Window" not in plan(found)
\ No newline at end of file
+    assert dict(found.collect()) == {"of": 1, "the": 1, "time": 1} and "Window" not in plan(found)
+
+
+def test_words_of_texts_are_counted_without_lines(spark, sf):
+    from quire.plans import rules
+
+    assert "posexplode" not in plan(rules.words(spark, sf))
\ No newline at end of file
