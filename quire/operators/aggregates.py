@@ -52,12 +52,12 @@ def lexicon(lines: DataFrame) -> DataFrame:
 def layer_quality(pages: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, en_words, en_bad, en_rate): words that are garbled or that neither the dictionary ``known`` (word) has nor the document itself uses three times; the rate is null below 300 words."""
     words = pages.select("doc_id", F.explode(column(rules.quality_words, "dehyphenated")).alias("w")) if "dehyphenated" in pages.columns else pages.select("doc_id", column(rules.dehyphenate, "text").alias("t")).select("doc_id", F.explode(column(rules.quality_words, "t")).alias("w"))
-    forms = words.groupBy("doc_id", "w").agg(F.count("*").alias("n")).groupBy("doc_id", F.lower("w").alias("low")).agg(F.sum("n").alias("uses"), F.collect_list(F.struct("w", "n")).alias("forms"))
-    counts = forms.select("doc_id", "uses", F.inline("forms"))  # each form is judged once
-    judged = counts.withColumns({"garbled": column(rules.garbled, "w"), "plain": F.col("w").rlike("^[a-z]+$")}).filter("garbled OR plain")
-    judged = judged.join(known.select(F.col("word").alias("w")).distinct().withColumn("is_known", F.lit(True)), "w", "left")
-    bad = F.col("garbled") | (F.col("is_known").isNull() & ((F.length("w") < 5) | (F.col("uses") < 3)))
-    out = judged.groupBy("doc_id").agg(F.sum("n").alias("en_words"), F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("en_bad"))
+    forms = words.groupBy("doc_id", "w").agg(F.count("*").alias("n"))  # each form is judged once
+    told = forms.select("doc_id", F.lower("w").alias("low"), "n", F.when(column(rules.garbled, "w"), F.col("n")).otherwise(0).alias("garbled"), F.when(F.col("w").rlike("^[a-z]+$"), F.col("n")).otherwise(0).alias("plain"))  # no word is both
+    counts = told.groupBy("doc_id", "low").agg(F.sum("n").alias("uses"), F.sum("garbled").alias("garbled"), F.sum("plain").alias("plain")).filter("garbled + plain > 0")
+    judged = counts.join(known.filter("word rlike '^[a-z]+$'").select(F.col("word").alias("low")).distinct().withColumn("is_known", F.lit(True)), "low", "left")
+    unknown = F.col("is_known").isNull() & ((F.length("low") < 5) | (F.col("uses") < 3))
+    out = judged.groupBy("doc_id").agg(F.sum(F.col("garbled") + F.col("plain")).alias("en_words"), F.sum(F.col("garbled") + F.when(unknown, F.col("plain")).otherwise(0)).alias("en_bad"))
     return out.withColumn("en_rate", F.when(F.col("en_words") >= 300, F.col("en_bad") / F.col("en_words")))
 
 

@@ -51,6 +51,12 @@ def test_lexicon_takes_the_line_before_as_given(spark):
     assert dict(found.collect()) == {"of": 1, "the": 1, "time": 1} and "Window" not in plan(found)
 
 
+def test_words_are_judged_without_lists(spark, sf):
+    from quire.plans import operators
+
+    assert "collect_list" not in plan(operators.unknown_word_rate(spark, sf))
+
+
 def test_words_of_texts_are_counted_without_lines(spark, sf):
     from quire.plans import rules
 
