@@ -72,23 +72,24 @@ def numbered_items(df: DataFrame, keys: list[str], order: list[str], text: str)
 
 
 def keep_hyphen(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """(a, b, keep) of (a, b): whether "a-" and "b" make a compound, by the corpus's own words: three equi-joins."""
+    """(a, b, keep) of (a, b): whether "a-" and "b" make a compound, by the corpus's own words: an equi-join for both words together, and one for the halves where that leaves it open."""
     w = words.select(F.col("word").alias("w")).distinct()
-    low = pairs.withColumns({"la": F.lower("a"), "lb": F.lower("b")})
     forms = lambda c: F.array(c, *(F.concat(c, F.lit(e)) for e in ("s", "es", "ed", "d", "ing")), *(F.when(c.endswith(e) & (F.length(c) - len(e) >= 3), F.substr(c, F.lit(1), F.length(c) - len(e))) for e in ("s", "es")))
 
-    def known(df: DataFrame, candidates: Column, name: str) -> DataFrame:
-        hit = df.select("a", "b", F.explode(F.filter(candidates, lambda x: x.isNotNull())).alias("w")).join(w, "w", "left_semi").select("a", "b").distinct().withColumn(name, F.lit(True))
-        return df.join(hit, ["a", "b"], "left")
+    def found(df: DataFrame, **forms: Column) -> DataFrame:
+        """``df`` with a flag for each kind of forms, whether any of them is a word: one join for all."""
+        named = lambda kind: lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("w"))
+        made = F.flatten(F.array(*(F.transform(F.array_compact(x), named(kind)) for kind, x in forms.items())))
+        tried = df.select("a", "b", F.inline(made)).join(w.withColumn("hit", F.lit(True)), "w", "left")
+        return tried.groupBy("a", "b").agg(*(F.max(F.coalesce((F.col("kind") == kind) & F.col("hit"), F.lit(False))).alias(kind) for kind in forms))
 
-    df = known(low, F.array(F.concat_ws("-", "la", "lb")), "compound")
-    df = known(df, forms(F.concat("la", "lb")), "whole")
-    df = known(df, forms(F.col("la")), "left_word")
-    df = known(df, forms(F.col("lb")), "right_word")
+    low = lambda df: df.withColumns({"la": F.lower("a"), "lb": F.lower("b")})
     capital = F.col("a").rlike(r"^[\p{Lu}0-9]*$") | F.col("b").rlike(r"^\p{Lu}") | F.col("la").isin(*"km m cm mm µm kg g mg s h hr yr ka ma ga kyr myr pa mpa gpa hz ppm".split())
-    both = (F.length("a") >= 3) & (F.length("b") >= 3) & F.col("left_word").isNotNull() & F.col("right_word").isNotNull()
-    keep = F.when((F.col("a") == "") | (F.col("b") == ""), False).when(F.col("compound").isNotNull(), True).when(F.col("whole").isNotNull(), False).when(capital, True).otherwise(both)
-    return df.select("a", "b", keep.alias("keep"))
+    told = low(found(low(pairs.distinct()), compound=F.array(F.concat_ws("-", F.lower("a"), F.lower("b"))), whole=forms(F.concat(F.lower("a"), F.lower("b")))))
+    told = told.withColumn("keep", F.when((F.col("a") == "") | (F.col("b") == ""), False).when(F.col("compound"), True).when(F.col("whole"), False).when(capital, True).when((F.length("a") < 3) | (F.length("b") < 3), False))
+    # only what is still open looks its halves up
+    halves = found(told.filter("keep IS NULL"), left_word=forms(F.col("la")), right_word=forms(F.col("lb")))
+    return told.filter("keep IS NOT NULL").select("a", "b", "keep").unionByName(halves.select("a", "b", (F.col("left_word") & F.col("right_word")).alias("keep")))
 
 
 def context_prefix(segments: DataFrame, keys: list[str], order: list[str], text: str, limit: int = 1500) -> DataFrame:

@@ -60,4 +60,14 @@ def test_words_are_judged_without_lists(spark, sf):
 def test_words_of_texts_are_counted_without_lines(spark, sf):
     from quire.plans import rules
 
-    assert "posexplode" not in plan(rules.words(spark, sf))
\ No newline at end of file
+    assert "posexplode" not in plan(rules.words(spark, sf))
+
+
+def test_keep_hyphen_joins_twice(spark):
+    from quire.operators import sequence
+
+    pairs = spark.createDataFrame([("sour", "dough"), ("sea", "floor"), ("sea", "xyz"), ("", "a")], "a string, b string")
+    words = spark.createDataFrame([(w,) for w in ("sourdough", "sea", "floors", "floor")], "word string")
+    found = sequence.keep_hyphen(pairs, words)
+    assert {(r.a, r.b): r.keep for r in found.collect()} == {("sour", "dough"): False, ("sea", "floor"): True, ("sea", "xyz"): False, ("", "a"): False}
+    assert "LeftSemi" not in plan(found)
