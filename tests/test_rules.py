@@ -84,3 +84,25 @@ def test_a_long_word_takes_no_square_of_its_length(spark, name):
     began = time.perf_counter()
     df.collect()
     assert time.perf_counter() - began < 10
+
+
+def test_a_line_of_capitals_takes_no_power_of_its_length(spark):
+    lines = {"A" * 120 + "!": False, "A" * 300 + "! " + "e" * 290: False, "A" * 600: False, "A" * 300 + " " + "B" * 299: True, "Ab, " * 9 + "AB" * 60 + "!": True, "Ab, " * 8 + "AB" * 60 + "!": False}
+    df = spark.createDataFrame(list(lines.items()), "t string, want boolean").select("t", "want", column(rules.is_byline, "t").alias("found"))
+    df.limit(0).collect()
+    began = time.perf_counter()
+    assert not df.filter("NOT found <=> want").collect()
+    assert time.perf_counter() - began < 10
+
+
+def test_bylines_without_lists_agree(spark):
+    rng = random.Random(7)
+    names, low = ["Clara", "J.-P.", "O’Brien", "deVries", "Élan", "X"], ["de", "della", "van", "y", "ab", "delay", "and", "et", "船", "-", "!", "𝒳", "ª"]
+    cuts = [", ", ",", " and ", " und ", " et ", " and and ", " et and und ", "•", "＊", "†", "§", "* ", "1 ", "\u3000and ", "\n"]
+    name = lambda odd: " ".join(rng.choice(low if rng.random() < odd else names) for _ in range(rng.randint(1, 4)))
+    texts = list(dict.fromkeys("".join(name(odd) + rng.choice(cuts[:many]) for _ in range(n)) for odd in (0.02, 0.1, 0.4) for many in (1, 5, 15) for n in (1, 2, 5, 9, 10, 11, 20, 30) for _ in range(60)))
+    df, con = spark.createDataFrame([(t,) for t in texts], "t string"), duckdb.connect()
+    con.register("made", pd.DataFrame({"t": texts}))
+    ours, theirs = dict(df.select("t", column(rules.is_byline, "t")).collect()), dict(con.execute(f"SELECT t, {rules.is_byline(DUCK, 't')} FROM made").fetchall())
+    assert ours == theirs and 500 < sum(ours.values()) < len(ours) - 500
+    assert "transform(" not in rules.is_byline(SPARK, "t") and "filter(" not in rules.is_byline(SPARK, "t")
